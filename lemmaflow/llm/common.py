@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
