@@ -109,7 +109,7 @@ def rules() -> tuple:
     for label, (keyword, names, phrases) in LICENSES.items():
         for p in phrases:
             gate = max((w for w in re.split(r"[^a-z]+", re.sub(r"\([^)]*\)|\[[^]]*\]|\{[^}]*\}|\\w", " ", p)) if w), key=len)
-            out.append((0, label, keyword, gate, p))
+            out.append((0, label, "", gate, p))
         for rank, (_, form, gate) in enumerate(KINDS, 1):
             out.append((rank, label, keyword, gate, form.format(n=names)))
     out.sort(key=lambda r: (r[0], -len(r[4])))
