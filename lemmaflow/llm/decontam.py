@@ -95,10 +95,10 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
      s AS (SELECT DISTINCT item_id, least(5, len(w)) AS width, unnest([array_to_string(w[j : j + least(5, len(w)) - 1], ' ') FOR j IN range(1, len(w) - least(5, len(w)) + 2)]) AS shingle FROM i WHERE len(w) > 0),
      n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),
-     d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
+     d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
      k AS (SELECT DISTINCT doc_id, width, unnest([array_to_string(w[j : j + width - 1], ' ') FOR j IN range(1, len(w) - width + 2)]) AS shingle
            FROM d, (SELECT DISTINCT width FROM s) WHERE len(w) >= width),
      f AS (SELECT doc_id, item_id, count(DISTINCT shingle) AS found FROM k JOIN s USING (width, shingle) GROUP BY 1, 2)
