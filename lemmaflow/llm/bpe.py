@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-#: Entries of a worker's table of encoded pre-tokens, after which it starts anew; results don't depend on it.
+#: Entries of each of a worker's two tables of encoded pre-tokens; when the young one is full it becomes the old
+#: one, and what is used again moves back. Results don't depend on it.
 CACHE_ENTRIES = 300_000
 
 
@@ -150,11 +151,16 @@ class Codec:
         self.ranks = load(path or default_path())
         self.findall = _pattern(pattern or public_tokenizers.PATTERN).findall
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def packed(self, piece: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
         if len(self.kept) >= CACHE_ENTRIES:
-            self.kept.clear()
+            self.old, self.kept = self.kept, {}
+        out = self.kept.get(piece) or self.old.get(piece)
+        if out is not None:
+            self.kept[piece] = out
+            return out
         raw = piece.encode()
         whole = self.ranks.ids.get(raw)
         ids = array("I", [whole] if whole is not None else PrefixTable(self.ranks, raw).tokens())
@@ -164,8 +170,13 @@ class Codec:
         return out
 
     def encode_packed(self, text: str) -> bytes:
-        kept, packed = self.kept, self.packed
-        return b"".join([kept.get(p) or packed(p) for p in self.findall(text)])
+        packed = self.packed
+        out = []
+        pieces = self.findall(text)
+        for i in range(0, len(pieces), 100_000):
+            get = self.kept.get  # the table may have been replaced
+            out += [get(p) or packed(p) for p in pieces[i : i + 100_000]]
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return array("I", self.encode_packed(text)).tolist()
