@@ -63,6 +63,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context drop shuffle files of plans that are done with: it does so when the driver's JVM collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialise() that nothing reads any more."""
     path = getattr(df, "_lemmaflow_path", None)
@@ -123,6 +131,18 @@ def map_text(df: DataFrame, column: str, fn: Callable, added: str, limit: int =
     return df.mapInArrow(partial(_apply, fn=fn, column=column, names=schema.names, schema=arrow, limit=limit), schema)
 
 
+def join_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Inner join of rows with a table of one row a key, where a few keys may hold most rows.
+
+    counts has each key's number of rows as n. Keys with more than a thousandth of all rows (so at most
+    a thousand keys) are joined by broadcast where their rows lie; only the others are shuffled.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(table.join(counts.where(F.col("n") > total // 1000).select(key), key, "left_semi"))
+    cool = rows.join(hot.select(key), key, "left_anti").join(table, key)
+    return rows.join(hot, key).unionByName(cool)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component = smallest node; nodes without edges are absent.
 

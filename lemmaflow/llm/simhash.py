@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_text, materialise
+from .common import components, join_unique, map_text, materialise
 
 RADII = (1, 0)  # low, high segment
 MAX_DISTANCE = 2
@@ -69,13 +69,14 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row."""
     fps = materialise(fingerprints(docs, id_col, text_col))
-    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     groups = materialise(components(links(reps.select("fp"))))
-    named = groups.join(reps, groups.node == reps.fp).select("node", "component", "rep")
+    named = groups.join(reps.select("fp", "rep"), groups.node == reps.fp).select("node", "component", "rep")
     smallest = named.groupBy("component").agg(F.min("rep").alias("least"))
     of_group = named.join(smallest, "component").select("node", "least")
     of_fp = reps.join(of_group, reps.fp == of_group.node, "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = materialise(of_fp)
+    return join_unique(fps, of_fp, "fp", reps.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
