@@ -315,11 +315,11 @@ def test_substring_passages(spark):
     assert {(r.doc_id, r.keeper_doc_id) for r in out} == {(i, 1) for i in (1, 3, 5, 7)}
     for r in out:
         inside = " ".join(texts[r.doc_id].split()[r.first_word : r.last_word + 1])
-        assert inside in passage and len(inside.split()) >= 25
+        assert inside == passage or r.kept and inside in passage
     clean = [t for i, t in enumerate(texts) if i % 2 == 0]
     assert substring.repeats(docs_of(spark, clean)).count() == 0
     left = {r.doc_id: r.text for r in substring.remove_repeats(docs_of(spark, texts)).collect()}
-    assert left[1] == texts[1] and left[0] == texts[0] and len(left[3].split()) <= len(texts[3].split()) - 25
+    assert left[1] == texts[1] and left[0] == texts[0] and left[3].split() == texts[3].replace(passage, "").split()
 
 
 def test_substring_pivots_lose_no_link(spark):
