@@ -37,7 +37,9 @@ NEGATION_SCOPE = 3
 TARGET_SCOPE = 4
 #: Lengths of the learned word beginnings; 0 is the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8, 0)
+#: A learned word or beginning stands in at least so many toxic texts of the sample, and in this share of them.
 MIN_TEXTS = 3
+MIN_SHARE = 0.005
 CACHE_ENTRIES = 400_000
 
 INSULTS = {w: 2.0 for w in "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns imbecile dumb fool fools filth vermin scumbag bastard jerk dimwit idioten dummkopf abschaum versager connard abruti imbécile crétin idiota estúpido imbécil basura".split()}
@@ -236,12 +238,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Model:
         return Model({}, DEFAULT_COEF, DEFAULT_BIAS)
     counts = rows.mapInArrow(_count_beginnings, "x string, clean long, toxic long").groupBy("x").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    strong = counts.withColumn("w", odds).where((F.col("toxic") >= MIN_TEXTS) & (F.col("w") > 3.0)).orderBy(F.desc("w"), "x").limit(20_000)
+    least = max(MIN_TEXTS, int(np.ceil(MIN_SHARE * n[1])))
+    strong = counts.withColumn("w", odds).where((F.col("toxic") >= least) & (F.col("w") > 3.0)).orderBy(F.desc("w"), "x").limit(20_000)
     learned = {r["x"]: min(4.0, r["w"] / 2) for r in strong.select("x", "w").collect()}
     got = map_text(rows, "text", partial(_features, learned=learned), "f array<double>").select("f", "toxic").toArrow()
     f = np.array(got["f"].to_pylist(), float).reshape(-1, FEATURES)
     y = got["toxic"].to_numpy().astype(float)
     coef, bias = _logistic(np.log1p(f), y)
+    # The sample has another share of toxic texts than the labels: move the bias to theirs.
+    whole = dict(labels.where("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect())
+    bias += float(np.log(whole[1] / whole[0]) - np.log(n[1] / n[0]))
     return Model(learned, coef, bias)
 
 

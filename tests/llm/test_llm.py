@@ -459,3 +459,14 @@ def test_splits_are_crc32(spark):
     df = spark.range(50).withColumnRenamed("id", "doc_id")
     got = {r.doc_id: r.b for r in df.select("doc_id", common.crc_bucket(df.doc_id, 3).alias("b")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 for i in range(50)}
+
+
+def test_join_unique(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(6000)], "k long, i long")
+    table = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = common.join_unique(rows, table, "k", counts)
+    assert out.count() == 6000 and out.where("v <> 2 * k").count() == 0
+    assert common.join_unique(rows.where("false"), table, "k", counts.where("false")).count() == 0
