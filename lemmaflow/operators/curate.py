@@ -63,10 +63,22 @@ def clean(df: DataFrame, pos: str = "pos", max_trivial: float = 0.4, strict: boo
     good = tagged.where("reason is null").withColumn("formula", normalize_formula(F.col("formula"), strict))
     unique = keep_first(good, pair_key(F.col("nl"), F.col("formula")), pos)
     kept = cap_trivial(unique, F.size("atoms") <= 2, pos, max_trivial)
-    counts = tagged.agg(F.count("*").alias("total_input"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS], F.count_if(F.col("reason").isNull()).alias("_good"))
-    stats = counts.crossJoin(unique.agg(F.count("*").alias("_unique"))).crossJoin(kept.agg(F.count("*").alias("total_output")))
-    stats = stats.select("total_input", *REASONS, (F.col("_good") - F.col("_unique")).alias("duplicates_removed"), (F.col("_unique") - F.col("total_output")).alias("trivial_filtered"), "total_output", F.round(100 * F.try_divide("total_output", "total_input"), 1).alias("retention_pct"))
-    return kept.drop("reason", "atoms"), stats
+    return kept.drop("reason", "atoms"), funnel(tagged, pos, max_trivial, strict)
+
+
+def funnel(tagged: DataFrame, pos: str = "pos", max_trivial: float = 0.4, strict: bool = False) -> DataFrame:
+    """One row of counts of what clean() removes at each step; only keys and flags are shuffled, no texts."""
+    key = F.md5(pair_key(F.col("nl"), normalize_formula(F.col("formula"), strict)).cast("binary"))
+    slim = tagged.select("reason", F.when(F.col("reason").isNull(), key).alias("k"), F.col(pos).alias("p"), (F.size("atoms") <= 2).alias("t"))
+    one = slim.groupBy("reason", "k").agg(F.count("*").alias("n"), F.min_by("t", "p").alias("t"))
+    ok = F.col("reason").isNull()
+    sums = one.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_input"), *[F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("n"))), F.lit(0)).alias(r) for r in REASONS],
+        F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("_good"), F.count_if(ok).alias("_unique"), F.count_if(ok & F.col("t")).alias("_trivial"),
+    )
+    over = F.greatest(F.lit(0), F.col("_trivial") - F.floor(F.col("_unique") * max_trivial))
+    out = sums.select("total_input", *REASONS, (F.col("_good") - F.col("_unique")).alias("duplicates_removed"), over.alias("trivial_filtered"), (F.col("_unique") - over).alias("total_output"))
+    return out.withColumn("retention_pct", F.round(100 * F.try_divide("total_output", "total_input"), 1))
 
 
 def share_by_group(df: DataFrame, by: str) -> DataFrame:

@@ -92,7 +92,7 @@ def cleaning_funnel(spark, d):
     f = _formulas(_table(spark, d, "documents"))
     declared = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("z"))).otherwise(F.array(*map(F.lit, "pqrs")))
     rows = f.select(F.col("doc_id").alias("pos"), F.col("text").alias("nl"), "formula", F.lit("").alias("formula_ascii"), declared.alias("declared_atoms"))
-    return curate.clean(rows)[1].withColumn("retention_pct", F.col("retention_pct").cast("double"))
+    return curate.funnel(curate.tag_reasons(rows)).withColumn("retention_pct", F.col("retention_pct").cast("double"))
 
 
 @query(f"""WITH {_F_SQL} SELECT doc_id, len(formula) - len(replace(formula, '(', '')) = len(formula) - len(replace(formula, ')', '')) AND
