@@ -77,7 +77,7 @@ class Ranks:
     def stable(self, left: int, right: int) -> bool:
         got = self.known.get((left, right))
         if got is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             got = self.known[left, right] = self._stable(left, right)
         return got

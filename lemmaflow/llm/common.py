@@ -6,6 +6,7 @@ the session names in spark.checkpoint.dir, and Python code runs over Arrow batch
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -60,9 +61,34 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lemmaflow_path = path
+    if not _WRITTEN:
+        atexit.register(_at_exit)
+    _WRITTEN.append((spark, path))
     return out
 
 
+_WRITTEN: list = []
+
+
+def cleanup() -> None:
+    """Delete all tables of materialise() of this process; results that read them must have been written before."""
+    while _WRITTEN:
+        _delete(*_WRITTEN.pop())
+
+
+def _at_exit() -> None:
+    try:
+        cleanup()
+    except Exception:  # noqa: BLE001, S110  the session has ended; its folder is the cluster's to clean
+        pass
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context drop shuffle files of plans that are done with: it does so when the driver's JVM collects garbage."""
     import gc
@@ -75,9 +101,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table of materialise() that nothing reads any more."""
     path = getattr(df, "_lemmaflow_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def crc_bucket(col: Column, n: int) -> Column:
