@@ -335,6 +335,11 @@ def test_substring_pivots_lose_no_link(spark):
     assert {(r.doc_id, r.keeper_doc_id) for r in out} == {(i, 0) for i in range(15)}
 
 
+def test_cut_text():
+    assert substring.cut_text("a  b\n\nc d e\nf", [(2, 2), (4, 5)]) == "a  b\n\nd"
+    assert substring.cut_text("a b c d", [(1, 2), (2, 2), (9, 12)]) == "a d" and substring.cut_text("a b", [(0, 1)]) == "" and substring.cut_text(" a\nb ", []) == " a\nb "
+
+
 def test_tune():
     b = substring.tune()
     assert 1 - (1 - 0.8**substring.ROWS) ** b >= 0.999
