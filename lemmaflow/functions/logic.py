@@ -38,7 +38,7 @@ class FormulaError(ValueError):
 
 
 _A = {"¬": "¬", "~": "¬", "∧": "∧", "&": "∧", "∨": "∨", "|": "∨", "→": "→", "->": "→", "↔": "↔", "<->": "↔", "(": "(", ")": ")"}
-_A_TOKEN = re.compile(r"<->|->|[()¬~∧&∨|→↔]|[^\W\d_][\d']*")
+_A_TOKEN = re.compile(r"<->|->|[()¬~∧&∨|→↔]|[^\W\d_][\d'¹²³⁰⁴-⁹₀-₉]*")
 
 
 def lex_a(text: str) -> list[str]:
