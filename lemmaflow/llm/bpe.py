@@ -43,7 +43,11 @@ class Ranks:
         self.bytes_of = [b""] * (max(self.ids.values()) + 1)
         for raw, i in self.ids.items():
             self.bytes_of[i] = raw
-        self.longest = max(map(len, self.ids))
+        #: Length of the longest token by its last three bytes.
+        self.reach: dict[bytes, int] = {}
+        for raw in self.ids:
+            if len(raw) > 2:
+                self.reach[raw[-3:]] = max(len(raw), self.reach.get(raw[-3:], 0))
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: list[tuple[int, int] | None] = [None] * len(self.bytes_of)
         self.known: dict[tuple[int, int], bool] = {}
@@ -93,25 +97,23 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """The pre-token goes on with these bytes; what was stored stays valid."""
         r = self.ranks
-        ids, stable, known, longest = r.ids, r.stable, r.known, r.longest
+        get, stable, seen, reach = r.ids.get, r.stable, r.known.get, r.reach.get
         start = len(self.data)
         data = self.data = self.data + more
         last = self.last
         for end in range(start + 1, len(data) + 1):
-            for cut in range(max(0, end - longest), end):
-                token = ids.get(data[cut:end])
+            for cut in range(max(0, end - reach(data[end - 3 : end], 2)) if end > 2 else 0, end):
+                token = get(data[cut:end])
                 if token is None:
                     continue
-                before = last[cut]
-                if before < 0:
-                    ok = cut == 0
-                else:
-                    ok = known.get((before, token))
+                if cut:
+                    ok = seen((last[cut], token))
                     if ok is None:
-                        ok = stable(before, token)
-                if ok:
-                    last.append(token)
-                    break
+                        ok = stable(last[cut], token)
+                    if not ok:
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
