@@ -21,7 +21,7 @@ from functools import lru_cache, partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import keeps, map_text
 
 #: Entries of each of a worker's two tables of encoded pre-tokens; when the young one is full it becomes the old
 #: one, and what is used again moves back. Results don't depend on it.
@@ -190,6 +190,14 @@ class Codec:
 _CODECS: dict = {}
 
 
+def _clear() -> None:
+    _CODECS.clear()
+    load.cache_clear()
+
+
+keeps(_clear)
+
+
 def _codec(path, pattern) -> Codec:
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(path, pattern)

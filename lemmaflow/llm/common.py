@@ -127,7 +127,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         yield batch.slice(start)
 
 
+_CLEAR: list[Callable] = []
+_OWNER: list[str] = []
+
+
+def keeps(clear: Callable) -> None:
+    """Register what empties an operator's tables that outlive a task."""
+    _CLEAR.append(clear)
+
+
+def settle(owner: str) -> None:
+    """At the start of a task: drop what another operator has left in this Python worker."""
+    if _OWNER and _OWNER[0] != owner:
+        for clear in _CLEAR:
+            clear()
+    _OWNER[:] = [owner]
+
+
 def _apply(batches, fn, column, names, schema, limit):
+    settle(getattr(fn, "func", fn).__module__)
     state: dict = {}
     for piece in slices(batches, column, limit):
         columns = fn(piece.column(column).to_pylist(), state)

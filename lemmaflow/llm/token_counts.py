@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import keeps, map_text
 
 SPACE = "▁"
 LIMIT = 4096
@@ -124,6 +124,7 @@ def load(path: str) -> Pieces:
 
 
 _COUNTED: dict = {}
+keeps(_COUNTED.clear)
 
 
 def count_texts(texts: list, path: str) -> list[int]:
