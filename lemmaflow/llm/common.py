@@ -16,7 +16,7 @@ from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by one Python worker.
@@ -188,16 +188,14 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame)
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component = smallest node; nodes without edges are absent.
 
-    Alternates large-star and small-star steps over the edge table until it no longer changes; every
-    step is an aggregate and an equi-join, and each round is written to the shared folder.
+    Alternates large-star and small-star steps over the edge table until it no longer changes; a step
+    is a minimum over each node's edges, and each round is written to the shared folder.
     """
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(low, "u").select("u", "v", F.least("u", "m").alias("m"))
-        if large:
-            return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        kept = joined.where("v <= u")
-        return kept.select(F.col("v").alias("a"), F.col("m").alias("b")).union(kept.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b")
+    def two(d: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        return d.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("e")).select("e.u", "e.v")
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
 
     def tally(e: DataFrame):
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -206,10 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
     cur = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = tally(cur)
     while state[0]:
-        both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        big = star(both, True).distinct()
-        down = big.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        nxt = materialise(star(down, False).distinct())
+        # Large star: neighbours above u go to u's smallest neighbour; then small star: so do those below it, and u.
+        large = least(two(cur, ("a", "b"), ("b", "a"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = two(least(large), ("v", "m"), ("u", "m")).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        nxt = materialise(small.distinct())
         new = tally(nxt)
         discard(cur)
         cur = nxt
