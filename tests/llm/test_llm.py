@@ -322,6 +322,25 @@ def test_substring_passages(spark):
     assert left[1] == texts[1] and left[0] == texts[0] and left[3].split() == texts[3].replace(passage, "").split()
 
 
+def test_substring_passages_within_a_text(spark):
+    """A second copy in a text is a repeat, after a part of the passage and where no other text has it too."""
+    rng = random.Random(21)
+    fill = iter(prose(rng, 40, 1_000_000) for _ in range(12))
+    p, own = prose(rng, 80, 1_000_000), prose(rng, 70, 1_000_000)
+    part = " ".join(p.split()[15:70])
+    texts = [
+        f"{next(fill)} {p} {next(fill)}",
+        f"{next(fill)} {p} {next(fill)} {p} {next(fill)}",
+        f"{next(fill)} {part} {next(fill)} {p} {next(fill)}",
+        f"{next(fill)} {own} {next(fill)} {own} {next(fill)}",
+    ]
+    out = substring.repeats(docs_of(spark, texts)).where("kind = 'passage'").collect()
+    cut = sorted((r.doc_id, r.keeper_doc_id, " ".join(texts[r.doc_id].split()[r.first_word : r.last_word + 1])) for r in out if not r.kept)
+    assert cut == sorted([(1, 0, p), (1, 0, p), (2, 0, part), (2, 0, p), (3, 3, own)])
+    left = {r.doc_id: r.text for r in substring.remove_repeats(docs_of(spark, texts)).collect()}
+    assert left[0] == texts[0] and p not in left[1] and part not in left[2] and left[3].count(own) == 1
+
+
 def test_substring_pivots_lose_no_link(spark):
     """Chains of similar lines in shared buckets: no partner is lost behind a pivot."""
     rng = random.Random(16)
