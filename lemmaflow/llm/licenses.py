@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 A few hundred regular expressions, hand-written by license and kind of mention, run over a text of
-normalised words (lower case, one space between words). A rule runs only where its keyword occurs.
+normalised words (lower case, one space between words). A rule runs only where literals occur that
+every match of its pattern contains (`gates`, read off the pattern itself).
 Detections that overlap are resolved by priority: kinds rank from full grants over notices to bare
 names, a longer match ranks before a shorter one, and a match inside the interval of a better one is
 suppressed. Labels are those of the detections left and of the four base phrases, which always stay.
@@ -23,112 +24,160 @@ from .common import map_text
 #: The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: License: (keyword, names as words, phrases of its grant or notice). Words are lower-case letters and digits.
-LICENSES: dict[str, tuple[str, str, tuple[str, ...]]] = {
-    "mit": ("mit", r"mit|expat|mit x11", (r"permission is hereby granted free of charge to any person obtaining a copy of this software", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software")),
-    "mit-0": ("mit", r"mit 0|mit no attribution", (r"mit no attribution",)),
-    "apache": ("apache", r"apache(?: software)?", (r"apache software license", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance")),
-    "apache-2.0": ("apache", r"apache(?: license)?(?: version)? 2(?: 0)?", (r"www apache org licenses license 2 0",)),
-    "apache-1.1": ("apache", r"apache(?: software)?(?: license)?(?: version)? 1 1", (r"the names apache server and apache group must not be used",)),
-    "gpl": ("g", r"gpl|gnu gpl|gnu general public", (r"terms of the gnu general public license", r"received a copy of the gnu general public license")),
-    "gpl-2.0": ("g", r"gpl ?v?2(?: 0)?(?: only)?|gnu general public license(?: version)? v?2", (r"gnu general public license as published by the free software foundation either version 2",)),
-    "gpl-3.0": ("g", r"gpl ?v?3(?: 0)?(?: only)?|gnu general public license(?: version)? v?3", (r"gnu general public license as published by the free software foundation either version 3",)),
-    "lgpl": ("l", r"lgpl|gnu lgpl|gnu lesser general public|gnu library general public", (r"terms of the gnu (?:lesser|library) general public license",)),
-    "lgpl-2.1": ("l", r"lgpl ?v?2 1|gnu lesser general public license(?: version)? v?2 1", (r"lesser general public license as published by the free software foundation either version 2 1",)),
-    "lgpl-3.0": ("l", r"lgpl ?v?3(?: 0)?|gnu lesser general public license(?: version)? v?3", (r"lesser general public license as published by the free software foundation either version 3",)),
-    "agpl": ("a", r"agpl ?v?3?(?: 0)?|gnu agpl|gnu affero general public|affero general public", (r"terms of the gnu affero general public license",)),
-    "bsd": ("bsd", r"bsd|bsd style|berkeley software distribution", (r"bsd style license",)),
-    "bsd-2-clause": ("", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd", (r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",)),
-    "bsd-3-clause": ("", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd", (r"neither the name of (?:\w+ ){1,12}nor the names of its contributors may be used to endorse or promote",)),
-    "bsd-4-clause": ("", r"bsd 4 clause|4 clause bsd|original bsd", (r"all advertising materials mentioning features or use of this software must display",)),
-    "isc": ("isc", r"isc", (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided",)),
-    "mpl": ("m", r"mpl|mozilla public", (r"subject to the terms of the mozilla public license",)),
-    "mpl-2.0": ("m", r"mpl 2(?: 0)?|mozilla public license(?: version)? v?2(?: 0)?", (r"this source code form is subject to the terms of the mozilla public license v 2 0",)),
-    "epl": ("e", r"epl|eclipse public", (r"made available under the terms of the eclipse public license",)),
-    "epl-2.0": ("e", r"epl 2(?: 0)?|eclipse public license(?: version)? v?2(?: 0)?", (r"www eclipse org legal epl 2 0",)),
-    "cddl": ("c", r"cddl(?: 1 [01])?|common development and distribution", (r"subject to the terms of the common development and distribution license",)),
-    "cpl": ("c", r"cpl(?: 1 0)?|common public", (r"accompanying program is provided under the terms of this common public license",)),
-    "eupl": ("eu", r"eupl(?: v?1 [012])?|european union public", (r"licensed under the eupl",)),
-    "artistic": ("artistic", r"artistic(?: 2 0)?|perl artistic", (r"terms of the artistic license",)),
-    "zlib": ("", r"zlib|zlib libpng", (r"this software is provided as is without any express or implied warranty in no event will the authors be held liable",)),
-    "libpng": ("libpng", r"libpng(?: 2)?", (r"the png reference library is supplied as is",)),
-    "boost": ("boost", r"boost(?: software)?|bsl 1 0", (r"distributed under the boost software license version 1 0",)),
-    "unlicense": ("unlicen", r"unlicense", (r"this is free and unencumbered software released into the public domain",)),
-    "public-domain": ("public domain", r"public domain", (r"(?:released|placed|dedicated) (?:in|into|to) the public domain", r"public domain dedication", r"is in the public domain")),
-    "wtfpl": ("", r"wtfpl|do what the fuck you want to public", (r"you just do what the fuck you want to",)),
-    "beerware": ("beer", r"beerware|beer ware", (r"you can buy me a beer in return",)),
-    "cc0": ("c", r"cc0(?: 1 0)?|cc zero|creative commons zero", (r"creative commons cc0 1 0 universal", r"creativecommons org publicdomain zero")),
-    "cc-by": ("c", r"cc by(?: [1234] [05])?|creative commons attribution(?: [1234] [05])?", (r"creativecommons org licenses by [1234] [05]",)),
-    "cc-by-sa": ("c", r"cc by sa(?: [1234] [05])?|creative commons attribution share ?alike(?: [1234] [05])?", (r"creativecommons org licenses by sa",)),
-    "cc-by-nc": ("c", r"cc by nc(?: [1234] [05])?|creative commons attribution non ?commercial(?: [1234] [05])?", (r"creativecommons org licenses by nc [1234]",)),
-    "cc-by-nd": ("c", r"cc by nd(?: [1234] [05])?|creative commons attribution no ?deriv(?:s|atives|ative works)(?: [1234] [05])?", (r"creativecommons org licenses by nd",)),
-    "cc-by-nc-sa": ("c", r"cc by nc sa(?: [1234] [05])?|creative commons attribution non ?commercial share ?alike(?: [1234] [05])?", (r"creativecommons org licenses by nc sa",)),
-    "cc-by-nc-nd": ("c", r"cc by nc nd(?: [1234] [05])?|creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)(?: [1234] [05])?", (r"creativecommons org licenses by nc nd",)),
-    "gfdl": ("g", r"gfdl(?: 1 [0123])?|gnu free documentation", (r"terms of the gnu free documentation license",)),
-    "odbl": ("od", r"odbl(?: 1 0)?|open database", (r"open data commons open database license",)),
-    "odc-by": ("od", r"odc by|open data commons attribution", (r"open data commons attribution license",)),
-    "pddl": ("p", r"pddl|open data commons public domain dedication", (r"public domain dedication and license",)),
-    "ofl": ("o", r"ofl(?: 1 [01])?|sil open font|open font", (r"licensed under the sil open font license",)),
-    "psf": ("p", r"psf(?: 2 0)?|python software foundation|python(?: 2 0)?", (r"python software foundation license version 2",)),
-    "php": ("php", r"php(?: 3 0(?: 1)?)?", (r"redistributions of any form whatsoever must retain the following acknowledgment this product includes php",)),
-    "ruby": ("ruby", r"ruby", (r"you may make and give away verbatim copies of the source form of the software",)),
-    "openssl": ("openssl", r"openssl", (r"this product includes software developed by the openssl project",)),
-    "postgresql": ("postgresql", r"postgresql", (r"postgresql license",)),
-    "ncsa": ("ncsa", r"ncsa|university of illinois ncsa", (r"university of illinois ncsa open source license",)),
-    "afl": ("a", r"afl(?: 3 0)?|academic free", (r"licensed under the academic free license",)),
-    "osl": ("o", r"osl(?: 3 0)?|open software", (r"licensed under the open software license",)),
-    "ms-pl": ("m", r"ms pl|microsoft public", (r"microsoft public license ms pl",)),
-    "ms-rl": ("m", r"ms rl|microsoft reciprocal", (r"microsoft reciprocal license",)),
-    "apsl": ("ap", r"apsl(?: 2 0)?|apple public source", (r"subject to the apple public source license",)),
-    "qpl": ("q", r"qpl(?: 1 0)?|q public", (r"terms of the q public license",)),
-    "sleepycat": ("sleepycat", r"sleepycat", (r"sleepycat license",)),
-    "w3c": ("w3c", r"w3c(?: software)?", (r"w3c software notice and license",)),
-    "unicode": ("unicode", r"unicode(?: dfs)?", (r"unicode license agreement data files and software",)),
-    "bsl-business": ("business source", r"business source(?: 1 1)?", (r"business source license 1 1",)),
-    "sspl": ("s", r"sspl(?: 1 0)?|server side public", (r"server side public license version 1",)),
-    "elastic": ("elastic", r"elastic(?: 2 0)?", (r"elastic license 2 0",)),
-    "openrail": ("rail", r"openrail(?: m)?|bigscience rail|creativeml openrail m", (r"responsible ai license",)),
-    "proprietary": ("", r"proprietary|commercial", (r"all rights reserved", r"proprietary and confidential", r"no part of (?:\w+ ){1,8}may be reproduced")),
+#: License: (names as words, phrases of its grant or notice). Words are lower-case letters and digits.
+LICENSES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "mit": (r"mit|expat|mit x11", (r"permission is hereby granted free of charge to any person obtaining a copy of this software", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software")),
+    "mit-0": (r"mit 0|mit no attribution", (r"mit no attribution",)),
+    "apache": (r"apache(?: software)?", (r"apache software license", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance")),
+    "apache-2.0": (r"apache(?: license)?(?: version)? 2(?: 0)?", (r"www apache org licenses license 2 0",)),
+    "apache-1.1": (r"apache(?: software)?(?: license)?(?: version)? 1 1", (r"the names apache server and apache group must not be used",)),
+    "gpl": (r"gpl|gnu gpl|gnu general public", (r"terms of the gnu general public license", r"received a copy of the gnu general public license")),
+    "gpl-2.0": (r"gpl ?v?2(?: 0)?(?: only)?|gnu general public license(?: version)? v?2", (r"gnu general public license as published by the free software foundation either version 2",)),
+    "gpl-3.0": (r"gpl ?v?3(?: 0)?(?: only)?|gnu general public license(?: version)? v?3", (r"gnu general public license as published by the free software foundation either version 3",)),
+    "lgpl": (r"lgpl|gnu lgpl|gnu lesser general public|gnu library general public", (r"terms of the gnu (?:lesser|library) general public license",)),
+    "lgpl-2.1": (r"lgpl ?v?2 1|gnu lesser general public license(?: version)? v?2 1", (r"lesser general public license as published by the free software foundation either version 2 1",)),
+    "lgpl-3.0": (r"lgpl ?v?3(?: 0)?|gnu lesser general public license(?: version)? v?3", (r"lesser general public license as published by the free software foundation either version 3",)),
+    "agpl": (r"agpl ?v?3?(?: 0)?|gnu agpl|gnu affero general public|affero general public", (r"terms of the gnu affero general public license",)),
+    "bsd": (r"bsd|bsd style|berkeley software distribution", (r"bsd style license",)),
+    "bsd-2-clause": (r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd", (r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",)),
+    "bsd-3-clause": (r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd", (r"neither the name of (?:\w+ ){1,12}nor the names of its contributors may be used to endorse or promote",)),
+    "bsd-4-clause": (r"bsd 4 clause|4 clause bsd|original bsd", (r"all advertising materials mentioning features or use of this software must display",)),
+    "isc": (r"isc", (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided",)),
+    "mpl": (r"mpl|mozilla public", (r"subject to the terms of the mozilla public license",)),
+    "mpl-2.0": (r"mpl 2(?: 0)?|mozilla public license(?: version)? v?2(?: 0)?", (r"this source code form is subject to the terms of the mozilla public license v 2 0",)),
+    "epl": (r"epl|eclipse public", (r"made available under the terms of the eclipse public license",)),
+    "epl-2.0": (r"epl 2(?: 0)?|eclipse public license(?: version)? v?2(?: 0)?", (r"www eclipse org legal epl 2 0",)),
+    "cddl": (r"cddl(?: 1 [01])?|common development and distribution", (r"subject to the terms of the common development and distribution license",)),
+    "cpl": (r"cpl(?: 1 0)?|common public", (r"accompanying program is provided under the terms of this common public license",)),
+    "eupl": (r"eupl(?: v?1 [012])?|european union public", (r"licensed under the eupl",)),
+    "artistic": (r"artistic(?: 2 0)?|perl artistic", (r"terms of the artistic license",)),
+    "zlib": (r"zlib|zlib libpng", (r"this software is provided as is without any express or implied warranty in no event will the authors be held liable",)),
+    "libpng": (r"libpng(?: 2)?", (r"the png reference library is supplied as is",)),
+    "boost": (r"boost(?: software)?|bsl 1 0", (r"distributed under the boost software license version 1 0",)),
+    "unlicense": (r"unlicense", (r"this is free and unencumbered software released into the public domain",)),
+    "public-domain": (r"public domain", (r"(?:released|placed|dedicated) (?:in|into|to) the public domain", r"public domain dedication", r"is in the public domain")),
+    "wtfpl": (r"wtfpl|do what the fuck you want to public", (r"you just do what the fuck you want to",)),
+    "beerware": (r"beerware|beer ware", (r"you can buy me a beer in return",)),
+    "cc0": (r"cc0(?: 1 0)?|cc zero|creative commons zero", (r"creative commons cc0 1 0 universal", r"creativecommons org publicdomain zero")),
+    "cc-by": (r"cc by(?: [1234] [05])?|creative commons attribution(?: [1234] [05])?", (r"creativecommons org licenses by [1234] [05]",)),
+    "cc-by-sa": (r"cc by sa(?: [1234] [05])?|creative commons attribution share ?alike(?: [1234] [05])?", (r"creativecommons org licenses by sa",)),
+    "cc-by-nc": (r"cc by nc(?: [1234] [05])?|creative commons attribution non ?commercial(?: [1234] [05])?", (r"creativecommons org licenses by nc [1234]",)),
+    "cc-by-nd": (r"cc by nd(?: [1234] [05])?|creative commons attribution no ?deriv(?:s|atives|ative works)(?: [1234] [05])?", (r"creativecommons org licenses by nd",)),
+    "cc-by-nc-sa": (r"cc by nc sa(?: [1234] [05])?|creative commons attribution non ?commercial share ?alike(?: [1234] [05])?", (r"creativecommons org licenses by nc sa",)),
+    "cc-by-nc-nd": (r"cc by nc nd(?: [1234] [05])?|creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)(?: [1234] [05])?", (r"creativecommons org licenses by nc nd",)),
+    "gfdl": (r"gfdl(?: 1 [0123])?|gnu free documentation", (r"terms of the gnu free documentation license",)),
+    "odbl": (r"odbl(?: 1 0)?|open database", (r"open data commons open database license",)),
+    "odc-by": (r"odc by|open data commons attribution", (r"open data commons attribution license",)),
+    "pddl": (r"pddl|open data commons public domain dedication", (r"public domain dedication and license",)),
+    "ofl": (r"ofl(?: 1 [01])?|sil open font|open font", (r"licensed under the sil open font license",)),
+    "psf": (r"psf(?: 2 0)?|python software foundation|python(?: 2 0)?", (r"python software foundation license version 2",)),
+    "php": (r"php(?: 3 0(?: 1)?)?", (r"redistributions of any form whatsoever must retain the following acknowledgment this product includes php",)),
+    "ruby": (r"ruby", (r"you may make and give away verbatim copies of the source form of the software",)),
+    "openssl": (r"openssl", (r"this product includes software developed by the openssl project",)),
+    "postgresql": (r"postgresql", (r"postgresql license",)),
+    "ncsa": (r"ncsa|university of illinois ncsa", (r"university of illinois ncsa open source license",)),
+    "afl": (r"afl(?: 3 0)?|academic free", (r"licensed under the academic free license",)),
+    "osl": (r"osl(?: 3 0)?|open software", (r"licensed under the open software license",)),
+    "ms-pl": (r"ms pl|microsoft public", (r"microsoft public license ms pl",)),
+    "ms-rl": (r"ms rl|microsoft reciprocal", (r"microsoft reciprocal license",)),
+    "apsl": (r"apsl(?: 2 0)?|apple public source", (r"subject to the apple public source license",)),
+    "qpl": (r"qpl(?: 1 0)?|q public", (r"terms of the q public license",)),
+    "sleepycat": (r"sleepycat", (r"sleepycat license",)),
+    "w3c": (r"w3c(?: software)?", (r"w3c software notice and license",)),
+    "unicode": (r"unicode(?: dfs)?", (r"unicode license agreement data files and software",)),
+    "bsl-business": (r"business source(?: 1 1)?", (r"business source license 1 1",)),
+    "sspl": (r"sspl(?: 1 0)?|server side public", (r"server side public license version 1",)),
+    "elastic": (r"elastic(?: 2 0)?", (r"elastic license 2 0",)),
+    "openrail": (r"openrail(?: m)?|bigscience rail|creativeml openrail m", (r"responsible ai license",)),
+    "proprietary": (r"proprietary|commercial", (r"all rights reserved", r"proprietary and confidential", r"no part of (?:\w+ ){1,8}may be reproduced")),
 }
 
 #: Kinds of mention by falling priority: what stands around a name. {n} is the license's names.
 KINDS = (
-    ("identifier", r"spdx license identifier (?:{n})(?: or later| only)?", "spdx"),
-    ("grant", r"(?:licensed|released|distributed|available|published|provided|redistributed|shared) (?:\w+ ){{0,3}}?(?:under|with|by) (?:the terms of )?(?:the |a |an )?(?:{n})(?: license| licence)?(?: version [0-9]+(?: [0-9])?)?", "under"),
-    ("notice", r"(?:license|licence|lizenz|licencia) (?:is |type |name |the )?(?:the )?(?:{n})", "licen"),
-    ("name", r"(?:{n}) (?:license|licence|lizenz|licencia)(?: version [0-9]+(?: [0-9])?)?", "licen"),
+    ("identifier", r"spdx license identifier (?:{n})(?: or later| only)?"),
+    ("grant", r"(?:licensed|released|distributed|available|published|provided|redistributed|shared) (?:\w+ ){{0,3}}?(?:under|with|by) (?:the terms of )?(?:the |a |an )?(?:{n})(?: license| licence)?(?: version [0-9]+(?: [0-9])?)?"),
+    ("notice", r"(?:license|licence|lizenz|licencia) (?:is |type |name |the )?(?:the )?(?:{n})"),
+    ("name", r"(?:{n}) (?:license|licence|lizenz|licencia)(?: version [0-9]+(?: [0-9])?)?"),
 )
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: Most strings that stand for a part of a pattern at once.
+STRINGS = 200
+
+
+def _shortest(strings: set) -> frozenset:
+    """The strings without those that contain another of them."""
+    return frozenset(x for x in strings if not any(y != x and y in x for y in strings))
+
+
+def _literals(tree) -> tuple[set | None, list]:
+    """All strings that a parsed pattern matches (None if they are too many), and sets of which every match contains a string."""
+    now, whole, out = {""}, True, []
+    for op, arg in tree:
+        name, strings, inner = str(op), None, []
+        if name == "LITERAL":
+            strings = {chr(arg)}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            strings = {chr(c) for _, c in arg}
+        elif name == "SUBPATTERN":
+            strings, inner = _literals(arg[3])
+        elif name == "BRANCH":
+            parts = [_literals(x) for x in arg[1]]
+            if all(x is not None for x, _ in parts):
+                strings = set().union(*(x for x, _ in parts))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] <= 1:
+            strings, inner = _literals(arg[2])
+            if arg[1] != 1:
+                strings = None
+            if arg[0] == 0:
+                strings, inner = (None if strings is None else strings | {""}), []
+        out += inner
+        if strings is not None and len(now) * len(strings) <= STRINGS:
+            now = {x + y for x in now for y in strings}
+        else:
+            out.append(now)
+            now, whole = strings or {""}, False
+    return (now, out) if whole else (None, [*out, now])
+
+
+def gates(pattern: str) -> tuple[frozenset, ...]:
+    """Sets of literals: every match of the pattern contains one of each set."""
+    from re import _parser
+
+    whole, parts = _literals(_parser.parse(pattern))
+    sets = {_shortest(x) for x in ([whole] if whole is not None else parts)}
+    return tuple(x for x in sets if all(len(y.strip()) > 1 for y in x))
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple:
-    """(priority, label, keyword, gate of the kind, pattern) in order of priority; grants' own phrases come first."""
+    """(priority, label, gates, pattern) in order of priority; grants' own phrases come first."""
     out = []
-    for label, (keyword, names, phrases) in LICENSES.items():
-        for p in phrases:
-            gate = max((w for w in re.split(r"[^a-z]+", re.sub(r"\([^)]*\)|\[[^]]*\]|\{[^}]*\}|\\w", " ", p)) if w), key=len)
-            out.append((0, label, "", gate, p))
-        for rank, (_, form, gate) in enumerate(KINDS, 1):
-            out.append((rank, label, keyword, gate, form.format(n=names)))
-    out.sort(key=lambda r: (r[0], -len(r[4])))
-    return tuple((rank, label, keyword, gate, re.compile(rf"(?<![^ ]){p}(?![^ ])")) for rank, label, keyword, gate, p in out)
+    around = [gates(form.format(n=r"\w+")) for _, form in KINDS]
+    for label, (names, phrases) in LICENSES.items():
+        out += [(0, label, gates(p), p) for p in phrases]
+        own = gates(names)
+        out += [(rank, label, (*own, *around[rank - 1]), form.format(n=names)) for rank, (_, form) in enumerate(KINDS, 1)]
+    out.sort(key=lambda r: (r[0], -len(r[3])))
+    return tuple((rank, label, sets, re.compile(rf"(?<![^ ]){p}(?![^ ])")) for rank, label, sets, p in out)
 
 
-GATE = re.compile("licen|lizenz|spdx|copyright|public domain|under|permi|rights reserved|confidential|creativecommons|advertising|cc by|verbatim|redistribut|warranty|reproduced|beer|fuck|endorse|png reference|openssl|unicode|apache|w3c|eclipse|commons|responsible")
+@lru_cache(maxsize=1)
+def gate() -> tuple[str, ...]:
+    """The literals of all rules' gates."""
+    return tuple(sorted({x for _, _, sets, _ in rules() for one in sets for x in one}))
 
 
-def detect(normal: str) -> list[tuple[int, int, int, str]]:
+def detect(normal: str, gated: bool = True) -> list[tuple[int, int, int, str]]:
     """(priority, start, end, label) of the detections that stay, by start; `normal` has words with one space between."""
-    if not GATE.search(normal):
+    here = {x for x in gate() if x in normal} if gated else set()
+    if gated and not here:
         return []
     found = []
-    here: dict[str, bool] = {}
-    for rank, label, keyword, gate, pattern in rules():
-        if gate not in here:
-            here[gate] = gate in normal
-        if here[gate] and (not keyword or keyword in normal):
+    for rank, label, sets, pattern in rules():
+        if not gated or not any(here.isdisjoint(one) for one in sets):
             found += [(rank, m.start(), m.end(), label) for m in pattern.finditer(normal)]
     found.sort(key=lambda d: (d[0], d[1] - d[2], d[1], -len(d[3]), d[3]))  # of equal intervals the more specific license
     kept: list = []

@@ -390,6 +390,43 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def a_match(rng, tree):
+    """A random string that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += rng.choice([{"LITERAL": lambda: chr(c), "RANGE": lambda: chr(rng.randint(*c))}.get(str(o), lambda: "x")() for o, c in arg])
+        elif name == "SUBPATTERN":
+            out += a_match(rng, arg[3])
+        elif name == "BRANCH":
+            out += a_match(rng, rng.choice(arg[1]))
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            out += "".join(a_match(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+    return out
+
+
+def test_license_gates_lose_nothing():
+    """Gated and ungated detection agree on matches of every rule."""
+    from re import _parser
+
+    rng = random.Random(22)
+    for rank, label, sets, pattern in licenses.rules():
+        assert sets, pattern.pattern
+        inner = pattern.pattern.removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+        for _ in range(40):
+            t = a_match(rng, _parser.parse(inner))
+            assert pattern.fullmatch(t), (pattern.pattern, t)
+            assert licenses.detect(t) == licenses.detect(t, gated=False) != [], t
+    labels = lambda t: licenses.scan_text(t)[5]
+    assert labels("unter der Apache Lizenz") == "apache" and labels("Lizenz: BSD 3 Clause") == "bsd-3-clause"
+    assert labels("released with CC BY-SA 4.0") == "cc-by,cc-by-sa" and labels("mit no attribution") == "mit-0"
+    assert labels("Berkeley Software Distribution License") == "bsd" and labels("Open Database License") == "odbl" and labels("Expat license") == "mit"
+
+
 # 9 chat
 
 
