@@ -12,6 +12,8 @@ component that has another id. Repeated rows give repeated rows. Extra columns a
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +48,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(texts, state):
-    return {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
+def _fingerprints(texts, state, name="fp"):
+    return {name: np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +82,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows of a component whose doc_id isn't its smallest; one row of repeated ones stays."""
-    found = near_duplicates(docs).select(F.col("doc_id").alias("_dup_id"), "component_id").where(F.col("_dup_id") > F.col("component_id")).select("_dup_id").distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("_dup_id"), "left_anti")
-    return kept
+    """One row of docs of each component: that with the smallest doc_id, null ids last; of rows that repeat it, one.
+
+    Rows are told apart by their place in a table written with the fingerprints.
+    """
+    fps = materialise(map_text(docs, "text", partial(_fingerprints, name="_fp"), "_fp long").withColumn("_row", F.monotonically_increasing_id()))
+    reps = materialise(fps.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")))
+    groups = materialise(components(links(reps.select("fp"))))
+    named = reps.join(groups, reps.fp == groups.node, "left").select("first", F.coalesce("component", "fp").alias("component"))
+    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    others = materialise(fps.select("_row").join(first, "_row", "left_anti"))
+    return fps.join(others, "_row", "left_anti").select(*docs.columns)

@@ -219,6 +219,19 @@ def test_simhash(spark, odd, empty):
     assert {r.doc_id for r in kept.collect()} == set(least.values())
 
 
+def test_keep_one_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(23)
+    a, b, c, d = (prose(rng, 200, 5000) for _ in range(4))
+    near = " ".join([*c.split()[:-1], "NEW"])
+    assert bin(slow_fingerprint(c) ^ slow_fingerprint(near)).count("1") <= 2
+    rows = [*[(7, a)] * 50, (9, a), *[(None, b)] * 20, (3, c), (None, c), (None, near), (5, d), *[(None, "")] * 3]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], DOCS)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == sorted([(7, a), (0, b), (3, c), (5, d), (0, "")])
+
+
 def test_links_lose_nothing(spark):
     rng = random.Random(9)
     fps = set()
