@@ -13,7 +13,8 @@ benchmark is joined by a shuffle on the hash, and its candidates' texts on the d
 Words are runs of letters and digits of the lower-cased text. An item of fewer than five words has
 one shingle, the whole item; one without words leaks nowhere. Null and empty texts have no words. Rows
 that repeat a doc_id or item_id count as one (the largest containment, and all the id's shingles,
-stand); null item_ids are ignored. Empty tables give an empty result; extra columns are not carried.
+stand); null item_ids are ignored. Rows with a null doc_id are told apart by their texts: leaks names
+them with a null doc_id, the largest containment standing, and keep_clean drops those into which an item leaks. Empty tables give an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -68,30 +69,41 @@ def sketches(parts: DataFrame) -> DataFrame:
     return ranked.where(F.col("r") <= size).select(h.alias("h"), "item_id")
 
 
-def leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, n_shingles (the item's), n_found and containment of every pair at 0.8 or more."""
+def _own(doc_id: Column, text: Column) -> Column:
+    """What tells rows without a doc_id apart."""
+    return F.when(doc_id.isNull(), F.md5(text.cast("string").cast("binary")))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
+    """doc_id, own (of rows without a doc_id), item_id, n and found of every pair at 0.8 or more."""
     parts = item_shingles(items)
     tally = parts.groupBy("width").count().collect()  # at most five rows
     widths = sorted(r["width"] for r in tally) or [WIDTH]
     small = sum(r["count"] for r in tally) <= broadcast_rows
     mark = F.broadcast if small else (lambda d: d)
-    whole = parts.groupBy("item_id").agg(F.collect_list("shingle").alias("own"))
+    whole = parts.groupBy("item_id").agg(F.collect_list("shingle").alias("own_shingles"))
     sketch = sketches(parts)
-    w = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    w = docs.select("doc_id", _own(F.col("doc_id"), F.col("text")).alias("own"), words_of(F.col("text")).alias("w"))
     if small:
-        hit = w.select("doc_id", "w", F.explode(hashes(F.col("w"), widths)).alias("h")).join(mark(sketch), "h").select("doc_id", "w", "item_id")
+        hit = w.select("doc_id", "own", "w", F.explode(hashes(F.col("w"), widths)).alias("h")).join(mark(sketch), "h").select("doc_id", "own", "w", "item_id")
     else:
-        pairs = w.select("doc_id", F.explode(hashes(F.col("w"), widths)).alias("h")).join(sketch, "h").select("doc_id", "item_id").distinct()
-        hit = w.join(pairs, "doc_id").select("doc_id", "w", "item_id")
-    both = hit.join(mark(whole), "item_id").select("doc_id", "item_id", F.size("own").alias("n"), F.size(F.array_intersect("own", shingles(F.col("w"), widths))).alias("found"))
-    top = both.where("5 * found >= 4 * n").groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_shingles"), F.max("found").cast("long").alias("n_found"))
+        pairs = w.select("doc_id", "own", F.explode(hashes(F.col("w"), widths)).alias("h")).join(sketch, "h").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), "item_id").distinct()
+        hit = w.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("own").eqNullSafe(F.col("_own"))).select("doc_id", "own", "w", "item_id")
+    both = hit.join(mark(whole), "item_id").select("doc_id", "own", "item_id", F.size("own_shingles").alias("n"), F.size(F.array_intersect("own_shingles", shingles(F.col("w"), widths))).alias("found"))
+    return both.where("5 * found >= 4 * n")
+
+
+def leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, item_id, n_shingles (the item's), n_found and containment of every pair at 0.8 or more."""
+    top = _leaks(docs, items, broadcast_rows).groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_shingles"), F.max("found").cast("long").alias("n_found"))
     return top.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs into which no item leaks, with all their columns."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_leak_id"), "left_anti")
+    bad = _leaks(docs, items, broadcast_rows).select(F.col("doc_id").alias("_leak_id"), F.col("own").alias("_leak_own")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_leak_id")) & _own(docs["doc_id"], docs["text"]).eqNullSafe(F.col("_leak_own"))
+    return docs.join(bad, same, "left_anti")
 
 
 ORACLE = r"""

@@ -495,6 +495,21 @@ def test_decontamination(spark, empty, rows):
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("rows", [decontam.BROADCAST_ROWS, 0])
+def test_decontamination_of_null_ids(spark, rows):
+    """Rows without a doc_id leak and go by their own texts, however large the benchmark."""
+    rng = random.Random(24)
+    item = prose(rng, 30, 3000)
+    dirty, clean = f"{prose(rng, 50, 3000)} {item}", prose(rng, 60, 3000)
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in [(None, dirty), (None, clean), (None, None), (1, dirty), (2, clean), (None, dirty)]], DOCS)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in decontam.leaks(docs, bench, rows).collect()}
+    assert got == {(None, 1, 26, 26), (1, 1, 26, 26)}
+    kept = decontam.keep_clean(docs, bench, rows)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, clean), (0, ""), (2, clean)])
+
+
 # the pipeline
 
 
