@@ -357,7 +357,7 @@ def pair_compose(spark, d):
 def compositions(spark, d):
     f = _formulas(_table(spark, d, "documents"))
     c = F.when(F.col("lang") == "en", "simple").otherwise("intermediate")
-    return augment.compose(f.select("doc_id", F.substring("text", 1, 60).alias("nl"), "formula", c.alias("complexity")), "doc_id")
+    return augment.compose(f.select("doc_id", F.col("text").alias("nl"), "formula", c.alias("complexity")), "doc_id")
 
 
 # Batching.

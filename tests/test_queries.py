@@ -48,6 +48,13 @@ def test_without_sql(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_compositions_hold_whole_texts(spark, tmp_path):
+    texts = [f"Doc {i} starts. " + f"filler{i} " * 40 + f"ends {i}" for i in range(6)]
+    spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    nl = [r.nl for r in QUERIES["compositions"](spark, str(tmp_path)).collect()]
+    assert nl and all(any(x.startswith(t + ". ") for t in texts) and any(x.endswith(t[1:]) for t in texts) for x in nl)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
