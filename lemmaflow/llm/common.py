@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,7 +17,7 @@ from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by one Python worker.
@@ -46,9 +47,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of the driver only where none is named (tests)."""
+    """The cluster's shared folder. Where none is named, a temporary one in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lemmaflow-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lemmaflow"
@@ -102,6 +105,15 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_lemmaflow_path", None)
     if path:
         _delete(df.sparkSession, path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like `base` that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def crc_bucket(col: Column, n: int) -> Column:
@@ -189,13 +201,15 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component = smallest node; nodes without edges are absent.
 
     Alternates large-star and small-star steps over the edge table until it no longer changes; a step
-    is a minimum over each node's edges, and each round is written to the shared folder.
+    is a minimum over each node's edges, and each round is written to the shared folder. Minima are
+    aggregated before the shuffle and joined to the edges, and a hub's edges are the join's larger side, which
+    adaptive execution splits; no task gets all edges of a hub.
     """
     def two(d: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
         return d.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("e")).select("e.u", "e.v")
 
     def least(e: DataFrame) -> DataFrame:
-        return e.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
 
     def tally(e: DataFrame):
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -205,10 +219,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = tally(cur)
     while state[0]:
         # Large star: neighbours above u go to u's smallest neighbour; then small star: so do those below it, and u.
-        large = least(two(cur, ("a", "b"), ("b", "a"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(least(two(cur, ("a", "b"), ("b", "a"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         small = two(least(large), ("v", "m"), ("u", "m")).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
         nxt = materialise(small.distinct())
         new = tally(nxt)
+        discard(large)
         discard(cur)
         cur = nxt
         if new == state:
