@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by one Python worker.
 SLICE_BYTES = 8 << 20
+#: Most edges whose nodes' minima (two a edge at most) are joined by broadcast in components().
+FEW_EDGES = 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +131,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         if batch.nbytes <= limit:
             yield batch
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        values = batch.column(column)
+        kind = values.type
+        sizes = pa.compute.multiply(pa.compute.list_value_length(values), 8) if pa.types.is_list(kind) or pa.types.is_large_list(kind) else pa.compute.binary_length(values)
+        sizes = sizes.fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:
@@ -203,13 +208,14 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps over the edge table until it no longer changes; a step
     is a minimum over each node's edges, and each round is written to the shared folder. Minima are
     aggregated before the shuffle and joined to the edges, and a hub's edges are the join's larger side, which
-    adaptive execution splits; no task gets all edges of a hub.
+    adaptive execution splits (few edges are joined by broadcast); no task gets all edges of a hub.
     """
     def two(d: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
         return d.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("e")).select("e.u", "e.v")
 
-    def least(e: DataFrame) -> DataFrame:
-        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
+    def least(e: DataFrame, rows: int) -> DataFrame:
+        m = e.groupBy("u").agg(F.min("v").alias("m"))
+        return e.join(F.broadcast(m) if rows <= FEW_EDGES else m, "u").withColumn("m", F.least("u", "m"))
 
     def tally(e: DataFrame):
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -219,8 +225,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = tally(cur)
     while state[0]:
         # Large star: neighbours above u go to u's smallest neighbour; then small star: so do those below it, and u.
-        large = materialise(least(two(cur, ("a", "b"), ("b", "a"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = two(least(large), ("v", "m"), ("u", "m")).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        large = materialise(least(two(cur, ("a", "b"), ("b", "a")), state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = two(least(large, state[0]), ("v", "m"), ("u", "m")).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
         nxt = materialise(small.distinct())
         new = tally(nxt)
         discard(large)
