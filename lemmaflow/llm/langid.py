@@ -10,9 +10,12 @@ times the language's posterior over those words.
 The models are fitted on a sample of at most about `limit` training rows a language, drawn by a hash
 of the row's id; every other step sees every row and whole texts.
 
+Very long texts are read whole; their words take turns of their own in the Viterbi pass, in time in proportion to
+their number. `fit` refuses more than LANGS different values of lang.
+
 Edge cases: null text, or text without a letter, is `und` with score 0 and no spans. Words in a
 script that no language has score alike for all. Rows are independent: repeated rows repeat, an empty
-table stays empty, extra columns are not carried. Without a training row nothing can be learned and
+table stays empty, null doc_ids are carried, extra columns are not. Without a training row nothing can be learned and
 all rows are `und`.
 """
 
@@ -29,6 +32,8 @@ from .common import crc_bucket, map_text
 UND = "und"
 SWITCH = 8.0
 LIMIT = 3000
+#: Most languages; a model's tables hold 1 MB for each.
+LANGS = 500
 CACHE_ENTRIES = 300_000
 BUCKETS = 1 << 16
 
@@ -128,9 +133,10 @@ def viterbi(emit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: flo
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     n_lang = emit.shape[1]
-    label = np.zeros(len(emit), np.int8)
-    back = np.zeros((len(emit), n_lang), np.int8)
-    own = np.arange(n_lang, dtype=np.int8)
+    kind = np.min_scalar_type(-max(1, n_lang))
+    label = np.zeros(len(emit), kind)
+    back = np.zeros((len(emit), n_lang), kind)
+    own = np.arange(n_lang, dtype=kind)
     v = np.zeros((len(sizes), n_lang), np.float32)
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), "left")  # texts longer than t
@@ -163,7 +169,7 @@ def viterbi(emit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: flo
                 x = row
         back[s + t : s + n] = ptrs
         v[d] = x
-    cur = v.argmax(1).astype(np.int8)
+    cur = v.argmax(1).astype(kind)
     cut = t
     for d in range(int(np.searchsorted(-sizes, -cut, "left"))):
         s, n, c = int(starts[d]), int(sizes[d]), int(cur[d])
@@ -203,7 +209,7 @@ def _predict(texts, state, model: Model, spans: bool):
     emit, length = state["table"][flat], state["length"][flat]
     label = viterbi(emit, starts, sizes, model.switch)
     n_lang, owner = len(model.langs), np.repeat(np.arange(len(texts)), sizes)
-    key = owner * n_lang + label
+    key = owner * n_lang + label.astype(np.int64)
     share = np.bincount(key, length, len(texts) * n_lang).reshape(-1, n_lang)
     whole = np.stack([np.bincount(owner, emit[:, j], len(texts)) for j in range(n_lang)], 1)
     total = share.sum(1)
@@ -235,7 +241,9 @@ def fit(train: DataFrame, limit: int = LIMIT, switch: float = SWITCH) -> Model |
 
     ship_package(train.sparkSession)
     rows = train.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGS + 1).collect()}
+    if len(sizes) > LANGS:
+        raise ValueError(f"more than {LANGS} languages: a model of so many does not fit a worker")
     if not sizes:
         return None
     langs = sorted(sizes)
