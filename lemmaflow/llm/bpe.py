@@ -7,8 +7,11 @@ over (`Ranks.stable`). Following the table back from the end gives the encoding.
 only adds entries, and an edit recomputes them from the edit on, so both are exact
 (`PrefixTable.append`, `PrefixTable.splice`).
 
+Very long texts are encoded whole, pre-token by pre-token; a pre-token's time is in proportion to its length.
+
 Edge cases: null text is the empty text (0 tokens; the digests of no bytes). Rows are independent:
-repeated rows repeat, an empty table stays empty, extra columns are not carried.
+repeated rows repeat, null doc_ids are carried, an empty table stays empty, extra columns are not carried (decode carries
+them).
 """
 
 from __future__ import annotations
@@ -215,9 +218,15 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return map_text(plain, "text", partial(_encode, path=path, pattern=pattern), "ids array<long>").select("doc_id", "ids")
 
 
-def _decode(rows, state, path, pattern):
-    c = _codec(path, pattern)
-    return {"decoded": [c.decode(r or ()) for r in rows]}
+def _decode(rows, state, path):
+    c = _codec(path, None)
+    known = range(len(c.ranks.bytes_of))
+    return {"decoded": [None if r is None or any(i not in known for i in r) else c.decode(r) for r in rows]}
+
+
+def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
+    """encoded with `decoded`, the bytes of its ids; null ids, and ids that the vocabulary does not have, give null."""
+    return map_text(encoded, ids_col, partial(_decode, path=path), "decoded binary")
 
 
 def _digest(texts, state, path, pattern):
