@@ -7,15 +7,20 @@ rank of its adjacent pairs and all sequences apply theirs at the same time; what
 counted, where a character outside the vocabulary counts its UTF-8 bytes.
 
 A rank that one piece alone has is applied at all its places at once, from left to right without
-overlap: `Pieces` verifies that pieces rank behind their parts, so no better pair can arise between
-those places. Of ranks that pieces share (runs of spaces) only the leftmost place is applied.
+overlap, if no piece that it is part of ranks before it: then no better pair can arise between
+those places. Of the other ranks (pieces made late, runs of spaces) only the leftmost place is applied.
+
+A round passes over all that is left of the sequences, so a sequence of more than LONG symbols would be passed over once
+for each of its merges: these few are merged from a queue of their pairs in order of rank and place, which are the
+same merges, in time in proportion to length. Very long texts are counted whole.
 
 Edge cases: null text is the empty text and has no tokens. Rows are independent: repeated rows
-repeat, an empty table stays empty, extra columns are not carried.
+repeat, null doc_ids are carried, an empty table stays empty, extra columns are not carried.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache, partial
 
@@ -29,6 +34,7 @@ SPACE = "▁"
 LIMIT = 4096
 #: Entries of a worker's table of counted pre-tokens, after which it starts anew; results don't depend on it.
 CACHE_ENTRIES = 400_000
+LONG = 400
 _NONE = np.int64(1 << 40)
 _PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -63,8 +69,9 @@ class Pieces:
                 if a is not None and b is not None:
                     keys.append(a * self.base + b)
                     made.append(i)
-                    if max([rank[x] for x, part in ((a, p[:cut]), (b, p[cut:])) if len(part) > 1], default=-1) >= rank[i]:
-                        holders[rank[i]] = max(2, holders[rank[i]])  # not behind its parts: one place at a time
+                    for x, part in ((a, p[:cut]), (b, p[cut:])):
+                        if len(part) > 1 and rank[x] >= rank[i]:
+                            holders[rank[x]] = max(2, holders[rank[x]])  # its making may give a better pair: one place at a time
         at = np.argsort(keys)
         self.keys = np.array(keys, np.int64)[at]
         self.made = np.array(made, np.int64)[at]
@@ -81,6 +88,13 @@ class Pieces:
 
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token (not empty)."""
+        few = [i for i, w in enumerate(words) if len(w) > LONG]
+        if few:
+            out = np.zeros(len(words), np.int64)
+            rest = [i for i, w in enumerate(words) if len(w) <= LONG]
+            out[rest] = self.count([words[i] for i in rest])
+            out[few] = [self._count_long(words[i]) for i in few]
+            return out
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         joined = "".join(words)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -118,6 +132,51 @@ class Pieces:
         return total
 
 
+    def _count_long(self, word: str) -> int:
+        """Tokens of one long pre-token, from a queue of rank * 2^32 + place."""
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        distinct, where = np.unique(points, return_inverse=True)
+        sym = np.array([self.chars.get(chr(c), self.base) for c in distinct], np.int64)[where]
+        total = int(np.array([1 if chr(c) in self.chars else len(chr(c).encode()) for c in distinct])[where].sum())
+        piece = self._pair(sym[:-1], sym[1:])
+        at = np.flatnonzero(self.rank[piece] < _NONE)
+        queue = ((self.rank[piece[at]] << 32) + at).tolist()
+        heapq.heapify(queue)
+        n, sym, known = len(sym), sym.tolist(), {}
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def rank_of(i: int, j: int) -> tuple[int, int]:
+            key = (sym[i], sym[j])
+            if key not in known:
+                made = int(self._pair(np.array([key[0]]), np.array([key[1]]))[0])
+                known[key] = (made, int(self.rank[made]))
+            return known[key]
+
+        while queue:
+            x = heapq.heappop(queue)
+            i, rank = x & 0xFFFFFFFF, x >> 32
+            j = after[i]
+            if sym[i] < 0 or j >= n:
+                continue
+            made, now = rank_of(i, j)
+            if now != rank:
+                continue  # one of the two has changed
+            sym[i], sym[j] = made, -1
+            total -= 1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                r = rank_of(i, after[i])[1]
+                if r < _NONE:
+                    heapq.heappush(queue, (r << 32) + i)
+            k = before[i]
+            if k >= 0:
+                r = rank_of(k, i)[1]
+                if r < _NONE:
+                    heapq.heappush(queue, (r << 32) + k)
+        return total
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Pieces:
     return Pieces(path)
