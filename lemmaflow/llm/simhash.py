@@ -7,7 +7,8 @@ with its own value; the complete distance of each match is verified inside the j
 
 Edge cases: null text and text without words have fingerprint zero and link like any other; equal
 fingerprints are one node, whatever their number; a null doc_id is carried but never names a
-component that has another id. Repeated rows give repeated rows. Extra columns are not carried.
+component that has another id. Repeated rows give repeated rows, an empty table an empty result; very long texts are read
+whole. Extra columns are not carried by near_duplicates and all carried, whatever their names, by keep_one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_unique, map_text, materialise
+from .common import components, free_name, join_unique, map_text, materialise
 
 RADII = (1, 0)  # low, high segment
 MAX_DISTANCE = 2
@@ -86,10 +87,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by their place in a table written with the fingerprints.
     """
-    fps = materialise(map_text(docs, "text", partial(_fingerprints, name="_fp"), "_fp long").withColumn("_row", F.monotonically_increasing_id()))
-    reps = materialise(fps.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")))
+    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
+    fps = materialise(map_text(docs, "text", partial(_fingerprints, name=fp), f"`{fp}` long").withColumn(row, F.monotonically_increasing_id()))
+    reps = materialise(fps.groupBy(F.col(fp).alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")))
     groups = materialise(components(links(reps.select("fp"))))
     named = reps.join(groups, reps.fp == groups.node, "left").select("first", F.coalesce("component", "fp").alias("component"))
-    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    others = materialise(fps.select("_row").join(first, "_row", "left_anti"))
-    return fps.join(others, "_row", "left_anti").select(*docs.columns)
+    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    others = materialise(fps.select(row).join(first, row, "left_anti"))
+    return fps.join(others, row, "left_anti").select(*docs.columns)
