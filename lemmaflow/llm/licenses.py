@@ -1,14 +1,17 @@
 """License scans by ordered signature rules.
 
-A few hundred regular expressions, hand-written by license and kind of mention, run over a text of
-normalised words (lower case, one space between words). A rule runs only where literals occur that
-every match of its pattern contains (`gates`, read off the pattern itself).
+Signature rules are regular expressions over a text of normalised words (lower case, one space between
+words): hand-written sentences of the licenses' texts, notices and headers (the phrases of LICENSES, SENTENCES), and for the
+hand-written names of each license the four KINDS of mention. A rule runs only where literals occur that
+every match of its pattern contains (`gates`, read off the pattern itself, so none is lost); all literals are found by one
+pass of an automaton.
 Detections that overlap are resolved by priority: kinds rank from full grants over notices to bare
 names, a longer match ranks before a shorter one, and a match inside the interval of a better one is
 suppressed. Labels are those of the detections left and of the four base phrases, which always stay.
 
-Edge cases: null text is the empty text: no words, no labels, score 0. Rows are independent:
-repeated rows repeat, an empty table stays empty, extra columns are not carried.
+Edge cases: null text is the empty text: no words, no labels, score 0. Very long texts are read whole; base phrases are
+counted in one pass. Rows are independent: repeated rows repeat, null doc_ids are carried, an empty table stays empty,
+extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -92,6 +95,99 @@ LICENSES: dict[str, tuple[str, tuple[str, ...]]] = {
     "proprietary": (r"proprietary|commercial", (r"all rights reserved", r"proprietary and confidential", r"no part of (?:\w+ ){1,8}may be reproduced")),
 }
 
+#: Further sentences of the licenses' own texts, notices and headers, each written by hand for one license.
+SENTENCES: dict[str, tuple[str, ...]] = {
+    "mit": (
+        r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
+        r"in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise",
+        r"except as contained in this notice the name of (?:\w+ ){1,8}shall not be used in advertising",
+    ),
+    "mit-0": (r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction (?:\w+ ){1,40}the software is provided as is",),
+    "apache-2.0": (
+        r"grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent|except as stated in this section patent) license",
+        r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        r"see the license for the specific language governing permissions and limitations under the license",
+        r"you must give any other recipients of the work or derivative works a copy of this license",
+    ),
+    "apache-1.1": (r"this product includes software developed by the apache software foundation", r"products derived from this software may not be called apache"),
+    "gpl": (
+        r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability",
+        r"(?:it|this program) (?:\w+ )?free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    ),
+    "gpl-2.0": (
+        r"this general public license applies to most of the free software foundation s software",
+        r"you may copy and distribute verbatim copies of the program s source code as you receive it in any medium",
+        r"gnu general public license version 2 june 1991",
+    ),
+    "gpl-3.0": (
+        r"the gnu general public license is a free copyleft license for software and other kinds of works",
+        r"to convey a work means any kind of propagation that enables other parties to make or receive copies",
+        r"gnu general public license version 3 29 june 2007",
+    ),
+    "lgpl": (r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", r"a program that contains no derivative of any portion of the library but is designed to work with the library"),
+    "lgpl-3.0": (r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3",),
+    "agpl": (r"the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation", r"remote network interaction use with the gnu general public license"),
+    "bsd": (r"copyright c (?:\w+ ){1,12}the regents of the university of california",),
+    "bsd-2-clause": (r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", r"the views and conclusions contained in the software and documentation are those of the authors"),
+    "bsd-3-clause": (r"neither the name of the copyright holder nor the names of its contributors", r"neither the name of the university nor the names of its contributors"),
+    "bsd-4-clause": (r"this product includes software developed by the university of california berkeley and its contributors",),
+    "0bsd": (r"(?:0bsd|zero clause bsd|bsd zero clause)(?: license)?", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    "isc": (r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "mpl-2.0": (r"if a copy of the mpl was not distributed with this file you can obtain one at", r"covered software is provided under this license on an as is basis", r"mozilla org mpl 2 0"),
+    "mpl": (r"the contents of this file are subject to the mozilla public license version 1 [01]",),
+    "epl": (r"this program and the accompanying materials are made available under the terms of the eclipse public license", r"any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    "epl-2.0": (r"secondary licenses when the conditions for such availability set forth in the eclipse public license",),
+    "cddl": (r"you can obtain a copy of the license at (?:\w+ ){1,12}cddl", r"covered software includes modifications the original software or the combination of modifications and original software"),
+    "eupl": (r"the work or software which is provided under the terms of this (?:european union public )?licence",),
+    "artistic": (r"the copyright holder maintains some semblance of artistic control over the development of the package", r"you may apply bug fixes portability fixes and other modifications derived from the public domain"),
+    "zlib": (r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    "libpng": (r"the contributing authors and group 42 inc disclaim all warranties", r"this code is released under the libpng license"),
+    "boost": (r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", r"www boost org license 1 0"),
+    "unlicense": (r"anyone is free to copy modify publish use compile sell or distribute this software", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest", r"unlicense org"),
+    "public-domain": (r"no copyright is claimed", r"has been (?:released|placed|dedicated) (?:in|into|to) the public domain by (?:the|its) authors?", r"the author disclaims copyright to this source code"),
+    "wtfpl": (r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",),
+    "beerware": (r"as long as you retain this notice you can do whatever you want with this stuff",),
+    "cc0": (r"the person who associated a work with this deed has dedicated the work to the public domain", r"to the extent possible under law (?:\w+ ){1,12}waived all copyright and related or neighboring rights"),
+    "cc-by": (r"you are free to share copy and redistribute the material in any medium or format", r"you must give appropriate credit provide a link to the license and indicate if changes were made", r"this work is licensed under a creative commons attribution [1234] [05] international license"),
+    "cc-by-sa": (r"if you remix transform or build upon the material you must distribute your contributions under the same license as the original", r"this work is licensed under a creative commons attribution share ?alike [1234] [05] international license"),
+    "cc-by-nc": (r"you may not use the material for commercial purposes", r"this work is licensed under a creative commons attribution non ?commercial [1234] [05] international license"),
+    "cc-by-nd": (r"if you remix transform or build upon the material you may not distribute the modified material",),
+    "gfdl": (r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", r"with no invariant sections no front cover texts and no back cover texts"),
+    "odbl": (r"this database is made available under the open database license", r"any rights in individual contents of the database are licensed under the database contents license"),
+    "odc-by": (r"this (?:\w+ ){1,6}is made available under the open data commons attribution license",),
+    "ofl": (r"the font software may be modified altered or added to", r"this font software is licensed under the sil open font license", r"scripts sil org ofl"),
+    "psf": (r"psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly", r"this license agreement is between the python software foundation"),
+    "php": (r"this source file is subject to version 3 0(?: |1 )?(?:\w+ )?of the php license", r"the name php must not be used to endorse or promote products derived from this software"),
+    "ruby": (r"you can redistribute it and or modify it under either the terms of the 2 clause bsdl", r"ruby is copyrighted free software"),
+    "openssl": (r"the names openssl toolkit and openssl project must not be used to endorse or promote products", r"this product includes cryptographic software written by eric young"),
+    "postgresql": (r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",),
+    "ncsa": (r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction",),
+    "osl": (r"licensed under the open software license version 3 0",),
+    "ms-pl": (r"each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution",),
+    "apsl": (r"this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license",),
+    "sleepycat": (r"redistributions in any form must be accompanied by information on how to obtain complete source code",),
+    "w3c": (r"permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted",),
+    "unicode": (r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files",),
+    "bsl-business": (r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", r"change date (?:\w+ ){0,8}change license"),
+    "sspl": (r"if you make the functionality of the program or a modified version available to third parties as a service",),
+    "elastic": (r"you may not provide the software to third parties as a hosted or managed service",),
+    "openrail": (r"use based restrictions as referenced in paragraph 5", r"you agree not to use the model or derivatives of the model"),
+    "proprietary": (
+        r"unauthorized (?:copying|reproduction|use|distribution) of this (?:file|software|material|document) (?:\w+ ){0,8}(?:is )?(?:strictly )?prohibited", r"this (?:software|document|material) is the (?:confidential|proprietary) (?:and proprietary )?(?:property|information) of",
+        r"without the prior written (?:permission|consent) of the (?:publisher|copyright owner|author)", r"alle rechte vorbehalten", r"tous droits réservés", r"todos los derechos reservados",
+    ),
+    "llama": (r"llama [234](?: [0-9])? community license(?: agreement)?", r"built with (?:meta )?llama"),
+    "gemma": (r"gemma terms of use", r"gemma prohibited use policy"),
+    "cecill": (r"cecill(?: b| c)?(?: free software)? licen[sc]e(?: agreement)?", r"licence cecill"),
+    "hippocratic": (r"hippocratic license(?: [0-9] [0-9])?",),
+    "polyform": (r"polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use) license(?: 1 0 0)?",),
+    "commons-clause": (r"commons clause (?:license )?condition", r"the license does not grant to you the right to sell the software"),
+    "etalab": (r"licence ouverte(?: open licence)?(?: version)? 2 0", r"etalab 2 0"),
+    "dl-de-by": (r"datenlizenz deutschland namensnennung(?: version)? 2 0",),
+    "ogl-uk": (r"open government licen[cs]e(?: v| version )?(?: ?[123] 0)?", r"contains public sector information licensed under the open government licence"),
+}
+
 #: Kinds of mention by falling priority: what stands around a name. {n} is the license's names.
 KINDS = (
     ("identifier", r"spdx license identifier (?:{n})(?: or later| only)?"),
@@ -156,6 +252,7 @@ def rules() -> tuple:
     """(priority, label, gates, pattern) in order of priority; grants' own phrases come first."""
     out = []
     around = [gates(form.format(n=r"\w+")) for _, form in KINDS]
+    out += [(0, label, gates(p), p) for label, sentences in SENTENCES.items() for p in sentences]
     for label, (names, phrases) in LICENSES.items():
         out += [(0, label, gates(p), p) for p in phrases]
         own = gates(names)
@@ -165,14 +262,20 @@ def rules() -> tuple:
 
 
 @lru_cache(maxsize=1)
-def gate() -> tuple[str, ...]:
-    """The literals of all rules' gates."""
-    return tuple(sorted({x for _, _, sets, _ in rules() for one in sets for x in one}))
+def gate():
+    """The automaton that finds the literals of all rules' gates in one pass."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for x in {x for _, _, sets, _ in rules() for one in sets for x in one}:
+        found.add_word(x, x)
+    found.make_automaton()
+    return found
 
 
 def detect(normal: str, gated: bool = True) -> list[tuple[int, int, int, str]]:
     """(priority, start, end, label) of the detections that stay, by start; `normal` has words with one space between."""
-    here = {x for x in gate() if x in normal} if gated else set()
+    here = {x for _, x in gate().iter(normal)} if gated else set()
     if gated and not here:
         return []
     found = []
@@ -188,6 +291,16 @@ def detect(normal: str, gated: bool = True) -> list[tuple[int, int, int, str]]:
     return sorted(kept, key=lambda d: (d[1], d[2], d[3]))
 
 
+def _word_numbers(padded: bytes, at: list[int]) -> list[int]:
+    """Words before each of the rising places."""
+    out, start, n = [], 0, 0
+    for x in at:
+        n += padded.count(b" ", start, x)
+        start = x
+        out.append(n)
+    return out
+
+
 def scan_text(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base labels, all labels, score, detections."""
     words = (text or "").encode().translate(_WORD).split()
@@ -195,12 +308,14 @@ def scan_text(text: str | None) -> tuple:
     padded = b" " + normal + b" "
     places, base = [], set()
     for phrase, label in BASE:
-        needle = f" {phrase} ".encode()
+        needle, found = f" {phrase} ".encode(), []
         at = padded.find(needle)
         while at >= 0:
-            places.append(padded.count(b" ", 0, at + 1) - 1)
-            base.add(label)
+            found.append(at)
             at = padded.find(needle, at + 1)
+        if found:
+            base.add(label)
+            places += _word_numbers(padded, found)
     shown = normal.decode()
     found = detect(shown)
     labels = base | {d[3] for d in found}
