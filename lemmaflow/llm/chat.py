@@ -8,7 +8,8 @@ rendered.
 
 Turns are in order of turn; ties are broken by role and text, so a repeated row is a turn of its own.
 A null role or text is the empty text; null turns come first; rows with a null conv_id are one
-conversation. An empty table gives an empty result; extra columns are not carried.
+conversation. A very long conversation or text is rendered whole, by one task. An empty table gives an empty result;
+extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, i (from 1), n (turns in all), role, text and the two rolling hashes h1 and h2 of the first i turns."""
@@ -37,12 +40,13 @@ def maximal(pre: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies and rendered: `<|role|>`, a line break, the text, `<|end|>` and a line break for each turn."""
-    pre = prefixes(turns)
-    stay = maximal(pre)
-    lines = pre.select("conv_id", "i", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n")).alias("line"))
-    same = lines["conv_id"].eqNullSafe(F.col("k_id"))
-    kept = lines.join(stay.withColumnRenamed("conv_id", "k_id"), same).groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("all"))
-    return kept.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join("all.line", "").alias("rendered"))
+    hashes = materialise(prefixes(turns).select("conv_id", "i", "n", "h1", "h2"))  # no texts; read twice
+    stay = maximal(hashes).withColumnRenamed("conv_id", "k_id")
+    role, text = (F.coalesce(turns[c].cast("string"), F.lit("")) for c in ("role", "text"))
+    rows = turns.select(turns["conv_id"], turns["turn"], role.alias("role"), text.alias("text"))
+    kept = rows.join(stay, rows["conv_id"].eqNullSafe(F.col("k_id"))).groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
+    line = lambda x: F.concat(F.lit("<|"), x.role, F.lit("|>\n"), x.text, F.lit("<|end|>\n"))
+    return kept.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.transform("all", line), "").alias("rendered"))
 
 
 ORACLE = """
