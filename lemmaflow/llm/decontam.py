@@ -14,7 +14,9 @@ Words are runs of letters and digits of the lower-cased text. An item of fewer t
 one shingle, the whole item; one without words leaks nowhere. Null and empty texts have no words. Rows
 that repeat a doc_id or item_id count as one (the largest containment, and all the id's shingles,
 stand); null item_ids are ignored. Rows with a null doc_id are told apart by their texts: leaks names
-them with a null doc_id, the largest containment standing, and keep_clean drops those into which an item leaks. Empty tables give an empty result; extra columns are not carried.
+them with a null doc_id, the largest containment standing, and keep_clean drops those into which an item leaks. Very long
+texts are read whole. Empty tables give an empty result; extra columns are not carried by leaks and all carried, whatever
+their names, by keep_clean.
 """
 
 from __future__ import annotations
@@ -83,13 +85,17 @@ def _leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     mark = F.broadcast if small else (lambda d: d)
     whole = parts.groupBy("item_id").agg(F.collect_list("shingle").alias("own_shingles"))
     sketch = sketches(parts)
-    w = docs.select("doc_id", _own(F.col("doc_id"), F.col("text")).alias("own"), words_of(F.col("text")).alias("w"))
+    text = F.col("text").cast("string")
+    w = docs.select("doc_id", _own(F.col("doc_id"), text).alias("own"), F.xxhash64(text).alias("t"), words_of(text).alias("w"))
     if small:
-        hit = w.select("doc_id", "own", "w", F.explode(hashes(F.col("w"), widths)).alias("h")).join(mark(sketch), "h").select("doc_id", "own", "w", "item_id")
+        hit = w.select("doc_id", "own", "t", "w", F.explode(hashes(F.col("w"), widths)).alias("h")).join(mark(sketch), "h")
     else:
         pairs = w.select("doc_id", "own", F.explode(hashes(F.col("w"), widths)).alias("h")).join(sketch, "h").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), "item_id").distinct()
-        hit = w.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("own").eqNullSafe(F.col("_own"))).select("doc_id", "own", "w", "item_id")
-    both = hit.join(mark(whole), "item_id").select("doc_id", "own", "item_id", F.size("own_shingles").alias("n"), F.size(F.array_intersect("own_shingles", shingles(F.col("w"), widths))).alias("found"))
+        hit = w.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("own").eqNullSafe(F.col("_own")))
+    # A text's shingles are made once, however many items and hashes it meets.
+    met = hit.groupBy("doc_id", "own", "t").agg(F.first("w").alias("w"), F.collect_set("item_id").alias("items"))
+    found = met.select("doc_id", "own", shingles(F.col("w"), widths).alias("has"), F.explode("items").alias("item_id"))
+    both = found.join(mark(whole), "item_id").select("doc_id", "own", "item_id", F.size("own_shingles").alias("n"), F.size(F.array_intersect("own_shingles", "has")).alias("found"))
     return both.where("5 * found >= 4 * n")
 
 
@@ -101,8 +107,8 @@ def leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROW
 
 def keep_clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs into which no item leaks, with all their columns."""
-    bad = _leaks(docs, items, broadcast_rows).select(F.col("doc_id").alias("_leak_id"), F.col("own").alias("_leak_own")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_leak_id")) & _own(docs["doc_id"], docs["text"]).eqNullSafe(F.col("_leak_own"))
+    bad = _leaks(docs, items, broadcast_rows).select(F.col("doc_id").alias("leak_id"), F.col("own").alias("leak_own")).distinct()
+    same = docs["doc_id"].eqNullSafe(bad["leak_id"]) & _own(docs["doc_id"], docs["text"]).eqNullSafe(bad["leak_own"])
     return docs.join(bad, same, "left_anti")
 
 
