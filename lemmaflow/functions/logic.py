@@ -11,6 +11,7 @@ which it also sees at the beginning of longer words.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,6 @@ NOTATIONS = {
     "¬": "¬", "~": "¬", "!": "¬", "not": "¬", "∧": "∧", "^": "∧", "&": "∧", "and": "∧", "∨": "∨", "|": "∨", "or": "∨",
     "→": "→", "->": "→", "=>": "→", "implies": "→", "↔": "↔", "<->": "↔", "<=>": "↔", "iff": "↔",
 }
-MAX_ATOMS = 16
 
 
 class FormulaError(ValueError):
@@ -207,24 +207,50 @@ def truth_bits(tree, atoms: list[str]) -> int:
 
 
 def signature(tree) -> str:
-    """Equal for two formulas exactly if they are equivalent: the truth table over the atoms that matter."""
-    atoms = sorted(names(tree))
-    if len(atoms) > MAX_ATOMS:
-        raise FormulaError(f"more than {MAX_ATOMS} atoms")
-    bits = truth_bits(tree, atoms)
-    k = 0
-    while k < len(atoms):
-        n = len(atoms)
-        half = 1 << (n - 1 - k)
-        full = (1 << (1 << n)) - 1
-        low = full // ((1 << half) + 1)  # rows in which the atom is false
-        if bits & low == bits >> half & low:
-            rows = [bits >> r & 1 for r in range(1 << n) if not r & half]
-            bits = sum(b << i for i, b in enumerate(rows))
-            atoms.pop(k)
-        else:
-            k += 1
-    return f"{','.join(atoms)}:{bits:x}"
+    """Equal for two formulas exactly if they are equivalent, whatever number of atoms they have.
+
+    It is the reduced decision diagram over the atoms in order of name, written from its root; an atom that
+    doesn't matter is not in it. Long ones are given by their SHA-256.
+    """
+    order = {a: i for i, a in enumerate(sorted(names(tree)))}
+    nodes: list[tuple] = [(len(order), 0, 0), (len(order), 1, 1)]  # false, true
+    known: dict[tuple, int] = {}
+    memo: dict[tuple, int] = {}
+
+    def node(level: int, low: int, high: int) -> int:
+        if low == high:
+            return low
+        key = (level, low, high)
+        if key not in known:
+            known[key] = len(nodes)
+            nodes.append(key)
+        return known[key]
+
+    def both(op: str, a: int, b: int) -> int:
+        if a < 2 and b < 2:
+            return int({"∧": a and b, "∨": a or b, "→": not a or b, "↔": a == b}[op])
+        key = (op, a, b)
+        if key not in memo:
+            level = min(nodes[a][0], nodes[b][0])
+            (a0, a1), (b0, b1) = (nodes[x][1:] if nodes[x][0] == level else (x, x) for x in (a, b))
+            memo[key] = node(level, both(op, a0, b0), both(op, a1, b1))
+        return memo[key]
+
+    def build(t) -> int:
+        if t[0] == "atom":
+            return node(order[t[1]], 0, 1)
+        return both("→", build(t[1]), 0) if t[0] == "¬" else both(t[0], build(t[1]), build(t[2]))
+
+    names_of, place, out, todo = list(order), {0: "F", 1: "T"}, [], [build(tree)]
+    root = todo[0]
+    while todo:
+        x = todo.pop()
+        if x not in place:
+            place[x] = str(len(place) - 2)
+            out.append(x)
+            todo += [nodes[x][2], nodes[x][1]]
+    text = ";".join(f"{names_of[nodes[x][0]]}?{place[nodes[x][2]]}:{place[nodes[x][1]]}" for x in out) or place[root]
+    return text if len(text) < 200 else hashlib.sha256(text.encode()).hexdigest()
 
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -321,23 +347,28 @@ LANES = (-4294967296, -281470681808896, -71777214294589696, -1085102592571150096
 _SIGNS = ("¬", "∧", "∨", "→", "↔")
 
 
-def truth_mask(rpn: Column, atoms: Column) -> Column:
-    """64 rows of the truth table at once, for at most six atoms; atoms gives each atom's lane (use the union
-    of both formulas' atoms to compare two). Null beyond six atoms."""
+def truth_words(rpn: Column, atoms: Column) -> Column:
+    """The truth table, 64 rows in each word; atoms gives each atom's place (use the union of both formulas' atoms
+    to compare two). n atoms make 2^(n - 6) words, at least one."""
     lanes = F.array(*[F.lit(x) for x in LANES])
     top = lambda s, k: F.element_at(s, -k)
     cut = lambda s, k: F.slice(s, F.lit(1), F.size(s) - k)
+    more = F.greatest(F.size(atoms) - 6, F.lit(0))  # the first atoms are bits of the word's number
 
-    def step(s, t):
-        a, b = top(s, 2), top(s, 1)
-        both = F.when(t == "∧", a.bitwiseAND(b)).when(t == "∨", a.bitwiseOR(b)).when(t == "→", F.bitwise_not(a).bitwiseOR(b)).otherwise(F.bitwise_not(a.bitwiseXOR(b)))
-        return (
-            F.when(t == "¬", F.concat(cut(s, 1), F.array(F.bitwise_not(b))))
-            .when(t.isin(*_SIGNS), F.concat(cut(s, 2), F.array(both)))
-            .otherwise(F.concat(s, F.array(F.get(lanes, F.array_position(atoms, t).cast("int") - 1))))
-        )
+    def word(w):
+        def lane(t):
+            i = F.array_position(atoms, t).cast("int") - 1
+            bit = F.call_function("shiftright", w, more - 1 - i).bitwiseAND(F.lit(1))
+            return F.when(i < more, -bit).otherwise(F.get(lanes, i - more)).cast("bigint")
+
+        def step(s, t):
+            a, b = top(s, 2), top(s, 1)
+            both = F.when(t == "∧", a.bitwiseAND(b)).when(t == "∨", a.bitwiseOR(b)).when(t == "→", F.bitwise_not(a).bitwiseOR(b)).otherwise(F.bitwise_not(a.bitwiseXOR(b)))
+            return F.when(t == "¬", F.concat(cut(s, 1), F.array(F.bitwise_not(b)))).when(t.isin(*_SIGNS), F.concat(cut(s, 2), F.array(both))).otherwise(F.concat(s, F.array(lane(t))))
+
+        return F.element_at(F.aggregate(rpn, F.array().cast("array<bigint>"), step), 1)
 
-    return F.when(F.size(atoms) <= 6, F.element_at(F.aggregate(rpn, F.array().cast("array<bigint>"), step), 1))
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), more) - 1), word)
 
 
 def evaluate(rpn: Column, assignment: Column) -> Column:
@@ -360,12 +391,12 @@ def node_count(rpn: Column) -> Column:
 def truth_table(df: DataFrame, formula: str = "formula") -> DataFrame:
     """df's rows times the rows of each valid formula's truth table: row_no, assignment (map) and value.
 
-    Atoms are sorted; the first is the most significant and false comes before true. The number of
-    rows is 2^n for n atoms, at most 2^16.
+    Atoms are sorted; the first is the most significant and false comes before true. A formula of n
+    atoms has 2^n rows, by nature.
     """
     p = df.withColumn("_p", parsed(F.col(formula))).where("_p.valid")
     n = F.size("_p.atoms")
-    rows = p.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)))
+    rows = p.withColumn("row_no", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), n).cast("long") - 1)))
     values = F.transform("_p.atoms", lambda a, i: (F.floor(F.col("row_no") / F.pow(F.lit(2.0), n - 1 - i)) % 2) == 1)
     out = rows.withColumn("assignment", F.map_from_arrays("_p.atoms", values))
     return out.withColumn("value", evaluate(F.col("_p.rpn"), F.col("assignment"))).drop("_p")

@@ -78,7 +78,8 @@ def normalize_formula(f: Column, fix_biconditional: bool = False) -> Column:
 
 
 def length_bucket(n: Column) -> Column:
-    return F.when(n <= 2, "1-2").when(n <= 4, "3-4").otherwise("5+")
+    """The labels of few, some and many connectors."""
+    return F.when(n <= 2, "1-2 conectores").when(n <= 4, "3-4 conectores").otherwise("5+ conectores")
 
 
 def exact_match(a: Column, b: Column) -> Column:

@@ -35,8 +35,13 @@ def length_stats(df: DataFrame, length: str = "length") -> DataFrame:
 
 
 def length_buckets(df: DataFrame, length: str, key: str, batch: int, span: int = 10, drop_last: bool = False) -> DataFrame:
-    """df with `bucket` and `batch`: neighbours in length, in random order inside a bucket of span * batch rows."""
-    d = ranked(df, [F.col(length), F.col(key)], F.col(length), name="_rank").withColumn("bucket", F.floor((F.col("_rank") - 1) / (batch * span)))
+    """df with `bucket` and `batch`: neighbours in length, in random order inside a bucket of span * batch rows.
+
+    Rows of one length are in order of a hash of their key, whose first digits cut a length that most rows have (that
+    of truncated texts) into many parts.
+    """
+    tie = hash_order("length", F.col(key))
+    d = ranked(df, [F.col(length), tie, F.col(key)], F.struct(F.col(length).alias("n"), F.substring(tie, 1, 3).alias("h")), name="_rank").withColumn("bucket", F.floor((F.col("_rank") - 1) / (batch * span)))
     w = Window.partitionBy("bucket").orderBy(hash_order("bucket", F.col(key)), key)
     out = d.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch)).drop("_rank")
     if drop_last:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import logic
 from ..functions.text import balanced_parens, formula_pattern, hash_order, normalize_formula, pair_key, rank_of, strip
 from ..schema import VERDICT_DDL
-from .ranking import running_sum, shuffled
+from .ranking import ranked, running_sum, shuffled
 
+#: Most buckets that a class is cut into by the range of its positions.
+RANGES = 4096
 REASONS = ("invalid_syntax", "unbalanced_parens", "inconsistent_atoms")
 
 
@@ -86,7 +88,7 @@ def share_by_group(df: DataFrame, by: str) -> DataFrame:
     from pyspark.sql import Window
 
     g = df.groupBy(by).agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), by)  # one row a group
 
 
 def balance(df: DataFrame, by: str, key: str, ratios: dict[str, float]) -> DataFrame:
@@ -128,6 +130,18 @@ def curriculum_sort(df: DataFrame, complexity: str, pos: str) -> DataFrame:
     return df.orderBy(rank_of(F.col(complexity)), pos)
 
 
+def curriculum_rank(df: DataFrame, complexity: str, pos: str, name: str = "place") -> DataFrame:
+    """df with each row's place (from 1) in the order of curriculum_sort; pos is a number.
+
+    Buckets of the order are equal ranges of pos inside a class, at most RANGES a class, so what is accumulated
+    over buckets has a fixed size whatever the number of rows.
+    """
+    ends = df.agg(F.min(pos).cast("double").alias("_lo"), F.max(pos).cast("double").alias("_hi"))
+    d = df.withColumn("_c", rank_of(F.col(complexity))).crossJoin(F.broadcast(ends))  # one row
+    part = F.coalesce(F.call_function("width_bucket", F.col(pos).cast("double"), F.col("_lo"), F.col("_hi") + 1, F.lit(RANGES).cast("long")), F.lit(0).cast("long"))
+    return ranked(d, [F.col("_c"), F.col(pos)], F.struct("_c", part.alias("p")), name=name).drop("_c", "_lo", "_hi")
+
+
 def curriculum_level(epoch: Column, schedule: list[tuple[int, int]]) -> Column:
     """Level of the largest threshold at or below the epoch; null before the first."""
     out = F.when(F.lit(False), F.lit(0))

@@ -41,7 +41,7 @@ def breakdown(pairs: DataFrame, complexity: str = "complexity", block: str = "bl
     g = d.groupingSets([[], *[[k] for k in keys]], *keys).agg(
         F.grouping_id().alias("gid"), F.count("*").alias("total"), F.round(_rate(F.col("exact_match")), 4).alias("exact_match"), F.round(_rate(F.col("semantic_match")), 4).alias("semantic_accuracy"),
         F.round(_rate(F.col("normalized_match")), 4).alias("normalized_match"), F.round(_rate(F.col("valid_syntax")), 4).alias("valid_syntax"),
-        *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in MEANS[:3]],
+        *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in (*MEANS[:3], "compositional")],
     )
     bit = {k: (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)) for i, k in enumerate(keys)}
     dim = F.when(F.col("gid") == (1 << len(keys)) - 1, "global")
@@ -96,6 +96,35 @@ def diagnose(parts: DataFrame, pairs: DataFrame, strict: bool = False) -> DataFr
     return advanced.union(weak).union(drop).union(mixed)
 
 
+# Dimensions in the order of a report, with their names in its document, and categories with an order of their own.
+DIMENSIONS = {"global": "global", "complexity": "by_complexity", "connector": "by_connector", "block": "by_block", "length": "by_length", "atoms": "by_n_atoms"}
+CATEGORY_ORDER = ("all", "simple", "intermediate", "advanced", "1-2 conectores", "3-4 conectores", "5+ conectores")
+
+
 def report_rows(parts: DataFrame) -> DataFrame:
-    """One JSON document a category, as a report file holds them."""
-    return parts.select("dimension", capitalize(F.col("category")).alias("label"), F.to_json(F.struct(*[c for c in parts.columns if c not in ("dimension", "category")])).alias("report"))
+    """dimension, category, label, metrics and place of each category of breakdown(), in the order of a printed report.
+
+    Complexities and lengths are in their own order, connectors and blocks by falling accuracy, numbers of atoms by their text.
+    """
+    dim = F.array_position(F.array(*map(F.lit, DIMENSIONS)), F.col("dimension"))
+    own = F.array_position(F.array(*map(F.lit, CATEGORY_ORDER)), F.col("category"))
+    by_score = F.when(F.col("dimension").isin("connector", "block"), -F.col("semantic_accuracy")).otherwise(F.lit(0.0))
+    fixed = F.when(F.col("dimension").isin("complexity", "length"), own).otherwise(F.lit(0))
+    label = F.when(F.col("dimension") == "global", "Global").when(F.col("dimension").isin("complexity", "block"), capitalize(F.col("category"))).otherwise(F.col("category"))
+    placed = parts.withColumn("label", label).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(dim, fixed, by_score, "category")))  # one row a category
+    return placed.orderBy("place")
+
+
+def report_document(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row `report`: the whole report as one JSON document: total, global, five dimensions and the confusion matrix."""
+    names = ("total", "exact_match", "semantic_accuracy", "valid_syntax", "partial_credit", "atom_f1", "connector_accuracy", "compositional")
+    shown = {"valid_syntax": "syntax_valid_rate", "compositional": "compositional_avg"}
+    entry = F.struct(F.col("label").alias("name"), *[F.col(c).alias(shown.get(c, c)) for c in names])
+    rows = report_rows(parts).select("dimension", "category", "place", entry.alias("e"))
+    listed = lambda dim: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(F.col("dimension") == dim, F.struct("place", "category", "e")))), lambda x: F.struct(x.category, x.e)))
+    whole = F.max(F.when(F.col("dimension") == "global", F.col("e")))
+    doc = rows.agg(F.coalesce(whole["total"], F.lit(0)).alias("total"), whole.alias("global"), *[listed(d).alias(n) for d, n in DIMENSIONS.items() if d != "global"])
+    seen = F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").alias("v")) for c in CONNECTORS]), lambda x: x.v > 0)
+    matrix = confusion(pairs).select(F.struct("real", F.map_from_entries(seen).alias("row")).alias("x"))
+    mixed = matrix.agg(F.map_from_entries(F.collect_list("x")).alias("confusion_matrix"))
+    return doc.crossJoin(F.broadcast(mixed)).select(F.to_json(F.struct("total", "global", *[n for d, n in DIMENSIONS.items() if d != "global"], "confusion_matrix")).alias("report"))

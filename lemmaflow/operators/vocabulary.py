@@ -1,13 +1,12 @@
 """Byte-pair vocabularies: pair counts, training, encoding and decoding of the corpus's own tokenizer.
 
 Training runs over distinct words with their frequencies, not over the corpus: words are counted once
-and only that table is rewritten. A round counts adjacent pairs by an aggregate and joins the most
-frequent one; ties go to the smaller pair. The table is written to the shared checkpoint folder every
-few rounds to keep the plan short.
+and only that table is rewritten.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +18,12 @@ from pyspark.sql import types as T
 from ..functions.logic import nfc
 from ..schema import SPECIAL_TOKENS
 
-#: Words with the space before them, digits and signs by themselves.
-WORD = r"(?U) ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Fixed value: the public byte-level split: contractions, then letters, digits or signs with one space before them; white space
+#: in front of a word leaves its last character to it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD = "(?U)" + SPLIT
+#: Most distinct words whose merges are found in one process; more are merged by rounds over the cluster, with the same result.
+LOCAL_WORDS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -53,14 +56,24 @@ def merge_pair(parts: Column, left: str, right: str) -> Column:
     return F.when(F.array_contains(parts, left) & F.array_contains(parts, right), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts)
 
 
-def train(df: DataFrame, text: str, merges: int, min_frequency: int = 2, checkpoint_every: int = 20) -> list[tuple[str, str]]:
-    """Merges in order, as hexadecimal symbols: at most `merges`, each of a pair seen min_frequency times or more."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp())
-    table = word_counts(df, text).select(symbols(F.col("word")).alias("parts"), "n").checkpoint()
+def train(df: DataFrame, text: str, merges: int, min_frequency: int = 2, checkpoint_every: int = 20, local_words: int = LOCAL_WORDS) -> list[tuple[str, str]]:
+    """Merges in order, as hexadecimal symbols: at most `merges`, each of a pair seen min_frequency times or more; ties go to the smaller pair.
+
+    Words are counted by an aggregate. A table of at most local_words distinct words is merged by one
+    process, which changes only the counts of the words that have the pair; a larger one is rewritten by rounds, which
+    need a checkpoint folder that all executors share.
+    """
+    spark = df.sparkSession
+    counted = word_counts(df, text).persist()
+    try:
+        if counted.count() <= local_words:
+            got = counted.where("length(word) > 0").toArrow()
+            return merge_words(zip(got["word"].to_pylist(), got["n"].to_pylist()), merges, min_frequency)
+        if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", ""):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        table = counted.select(symbols(F.col("word")).alias("parts"), "n").checkpoint()
+    finally:
+        counted.unpersist()
     out: list[tuple[str, str]] = []
     while len(out) < merges:
         best = pair_counts(table).orderBy(F.desc("n"), "left", "right").first()
@@ -73,6 +86,54 @@ def train(df: DataFrame, text: str, merges: int, min_frequency: int = 2, checkpo
     return out
 
 
+def merge_words(words, merges: int, min_frequency: int = 2) -> list[tuple[str, str]]:
+    """train() over (word, n) pairs in one process: a heap of pair counts, and the words in which each pair stands."""
+    parts, n, counts, where = [], [], {}, {}
+    for word, k in words:
+        p = [f"{b:02X}" for b in word.encode()]
+        if len(p) > 1:
+            for pair in zip(p, p[1:]):
+                counts[pair] = counts.get(pair, 0) + k
+                where.setdefault(pair, set()).add(len(parts))
+            parts.append(p)
+            n.append(k)
+    heap = [(-c, pair) for pair, c in counts.items()]
+    heapq.heapify(heap)
+    out: list[tuple[str, str]] = []
+    while heap and len(out) < merges:
+        c, pair = heapq.heappop(heap)
+        if counts.get(pair, 0) != -c:
+            continue  # an older count
+        if -c < min_frequency:
+            break
+        out.append(pair)
+        left, right = pair
+        changed = set()
+        for w in where.pop(pair):
+            old, new, i = parts[w], [], 0
+            for p in zip(old, old[1:]):
+                counts[p] -= n[w]
+                changed.add(p)
+            while i < len(old):
+                if i + 1 < len(old) and old[i] == left and old[i + 1] == right:
+                    new.append(left + right)
+                    i += 2
+                else:
+                    new.append(old[i])
+                    i += 1
+            for p in zip(new, new[1:]):
+                counts[p] = counts.get(p, 0) + n[w]
+                where.setdefault(p, set()).add(w)
+                changed.add(p)
+            parts[w] = new
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], p))
+            else:
+                del counts[p]
+    return out
+
+
 class Vocabulary:
     """Special tokens first, then the 256 bytes, then one token a merge."""
 
@@ -112,7 +173,7 @@ class Vocabulary:
             if part in SPECIAL_TOKENS:
                 out.append(self.ids[part])
             elif part:
-                for w in regex.findall(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", part):
+                for w in regex.findall(SPLIT, part):
                     out += self._cached(w)
         return out
 

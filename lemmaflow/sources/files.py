@@ -11,12 +11,22 @@ from ..schema import EXAMPLE_DDL, PROCESSED_DDL
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """One row per example of `{"examples": [...]}` or of a bare array, with its place `pos`."""
-    doc = spark.read.option("multiLine", True).schema(f"examples ARRAY<STRUCT<{_as_struct(EXAMPLE_DDL)}>>").json(path)
-    wrapped = doc.where("examples is not null").select(F.posexplode("examples").alias("pos", "e")).select(F.col("pos").cast("long"), "e.*")
-    raw = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
-    bare = raw.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{_as_struct(EXAMPLE_DDL)}>>")).alias("pos", "e")).select(F.col("pos").cast("long"), "e.*")
-    return wrapped.unionByName(bare)
+    """One row per example of `{"examples": [...]}` or of a bare array, with its place `pos`; each file is read once.
+
+    Over several files pos counts on: the number of the file in order of name times 2^40, plus the place in the file.
+    """
+    kind = f"ARRAY<STRUCT<{_as_struct(EXAMPLE_DDL)}>>"
+    raw = spark.read.text(path, wholetext=True)
+    files = sorted(raw.inputFiles())
+    named = raw.select(F.col("_metadata.file_path").alias("_f"), "value")
+    if len(files) > 1:
+        order = spark.createDataFrame(list(enumerate(files)), "_n long, _f string")
+        named = named.join(F.broadcast(order), "_f", "left")  # one row a file, which the driver lists anyway
+    else:
+        named = named.withColumn("_n", F.lit(0).cast("long"))
+    found = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", kind)).otherwise(F.from_json("value", f"examples {kind}").examples)
+    rows = named.select("_n", F.posexplode(found).alias("pos", "e"))
+    return rows.select((F.coalesce("_n", F.lit(len(files))) * (1 << 40) + F.col("pos")).alias("pos"), "e.*")
 
 
 def _as_struct(ddl: str) -> str:
@@ -46,6 +56,20 @@ def count_examples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").rlike(r"(?U)\S")).agg(F.count("*").alias("n"))
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one that spark.checkpoint.dir names; in local mode without one, a temporary folder."""
+    import re
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lemmaflow-work-")
+    return f"{base.rstrip('/')}/lemmaflow-work/{uuid.uuid4().hex}"
+
+
 def read_progress(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Earlier output, or an empty table where there is none yet."""
     sc = spark.sparkContext
@@ -63,6 +87,12 @@ def write_examples(df: DataFrame, stats: DataFrame | None, path: str, key: str =
         stats.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/stats")
 
 
+def write_document(df: DataFrame, stats: DataFrame, path: str, key: str = "examples", stats_key: str = "stats") -> None:
+    """One JSON document `{key: [...], stats_key: {...}}` as a text file, for tables that fit one document (the reader takes both layouts)."""
+    one = df.agg(F.collect_list(F.struct(*df.columns)).alias(key)).crossJoin(F.broadcast(stats.limit(1).select(F.struct(*stats.columns).alias(stats_key))))
+    one.select(F.to_json(F.struct(key, stats_key), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """One folder of JSON lines a split."""
     df.write.mode("overwrite").partitionBy("split").json(path)

@@ -81,15 +81,29 @@ def test_random_formulas(spark):
     assert all(r.value == value(trees[r.i], r.assignment) for r in table)
     assert len(table) == sum(2 ** len(logic.names(t)) for t in trees[:40])
     p = df.withColumn("p", logic.parsed("formula"))
-    masks = {r.i: r.m for r in p.select("i", logic.truth_mask(F.col("p.rpn"), F.array(*map(F.lit, "pqrstu"))).alias("m")).collect()}
+    masks = {r.i: r.m for r in p.select("i", logic.truth_words(F.col("p.rpn"), F.array(*map(F.lit, "pqrstu"))).alias("m")).collect()}
     for i in range(39):
-        assert (masks[i] == masks[i + 1]) == (logic.signature(trees[i]) == logic.signature(trees[i + 1]))
+        assert len(masks[i]) == 1 and (masks[i] == masks[i + 1]) == (logic.signature(trees[i]) == logic.signature(trees[i + 1]))
 
 
 def test_long_formulas_by_signature():
     ring = " ∧ ".join(f"(x{i} ∨ y{i})" for i in range(5))
     assert same(ring, " ∧ ".join(f"(y{i} ∨ x{i})" for i in reversed(range(5))))
-    assert logic.analyse(" ∧ ".join(f"a{i}" for i in range(20)))[0] is False
+    many = [f"a{i}" for i in range(20)]
+    ok, _, _, atoms, signs, main, *_ = logic.analyse(" ∧ ".join(many))
+    assert ok and atoms == sorted(many) and signs == ["∧"] * 19 and main == "∧"
+    assert same(" ∧ ".join(many), " ∧ ".join(reversed(many))) and not same(" ∧ ".join(many), " ∧ ".join(many[1:]))
+    assert same(" → ".join(many), " → ".join(many) + " ∨ ¬(z → z)") and not same(" ↔ ".join(many), " ↔ ".join(many[:-1]) + " ↔ ¬a19")
+    assert same(f"({' ∨ '.join(many)}) ∧ (z ∨ ¬z)", " ∨ ".join(many))
+
+
+def test_words_of_many_atoms(spark):
+    rng = random.Random(2)
+    atoms = [f"x{i}" for i in range(9)]
+    trees = [random_tree(rng, 5, atoms) for _ in range(30)]
+    df = spark.createDataFrame([(i, logic.show(t, True)) for i, t in enumerate(trees)], "i int, formula string").withColumn("p", logic.parsed("formula"))
+    for r in df.select("i", logic.truth_words(F.col("p.rpn"), F.array(*map(F.lit, atoms))).alias("m")).collect():
+        assert len(r.m) == 8 and sum((w % (1 << 64)) << 64 * k for k, w in enumerate(r.m)) == logic.truth_bits(trees[r.i], atoms)
 
 
 def test_printed_table(spark):
@@ -124,11 +138,11 @@ def test_text_functions(spark):
         got = one(text.extract_json(lit(raw), "k int"))
         assert (got.k if got else None) == want
     assert one(text.format_with_thought(lit("s"), F.array(lit("a"), lit(None)), lit("p"))) == "<|bos|><|input|> s <|thought|> a  <|formula|> p<|eos|>"
-    assert one(text.capitalize(lit("hELLO"))) == "Hello" and [one(text.length_bucket(lit(n))) for n in (0, 2, 3, 4, 5)] == ["1-2", "1-2", "3-4", "3-4", "5+"]
+    assert one(text.capitalize(lit("hELLO"))) == "Hello" and [one(text.length_bucket(lit(n))) for n in (0, 2, 3, 4, 5)] == [f"{x} conectores" for x in ("1-2", "1-2", "3-4", "3-4", "5+")]
 
 
 REWRITES = [
-    ("p → q", "implication_equivalence", "¬(p) ∨ (q)", True), ("(p → q) ∧ r", "implication_equivalence", "¬((p) ∨ (q) ∧ r)", False), ("p → q ↔ r", "implication_equivalence", "¬(p) ∨ (q ↔ r)", False),
+    ("p → q", "implication→disjunction", "¬(p) ∨ (q)", True), ("(p → q) ∧ r", "implication→disjunction", "¬((p) ∨ (q) ∧ r)", False), ("p → q ↔ r", "implication→disjunction", "¬(p) ∨ (q ↔ r)", False),
     ("¬(p ∧ q)", "de_morgan_and", "(¬p ∨ ¬q)", True), ("¬(p ∧ q ∧ r)", "de_morgan_and", "(¬p ∨ ¬q ∧ r)", False), ("x ∨ ¬(p ∨ q)", "de_morgan_or", "x ∨ (¬p ∧ ¬q)", True),
     ("(p ∧ q) → r", "commutativity", "(q ∧ p) → r", True), ("(p ∨ q ∧ r)", "commutativity", "(r ∧ p ∨ q)", False), ("¬¬p ∨ q", "double_negation_remove", "p ∨ q", True),
 ]

@@ -96,6 +96,8 @@ def test_vocabulary(spark, tmp_path):
     df = spark.createDataFrame([("el gato y el gato negro",), ("la gata el año",), (None,)], "t string")
     merges = vocabulary.train(df, "t", 30, checkpoint_every=7)
     v = vocabulary.Vocabulary(merges)
+    spark.sparkContext.setCheckpointDir(f"{tmp_path}/checkpoints")
+    assert vocabulary.train(df, "t", 30, checkpoint_every=7, local_words=0) == merges
     assert len(merges) >= 5 and len(v) == len(SPECIAL_TOKENS) + 256 + len(merges) and v.broken_specials() == []
     t = "<|bos|> el gato ñandú 12 <|eos|>"
     ids = v.encode(t)
@@ -148,7 +150,7 @@ def test_reports(spark):
     m = evaluate.diagnose_batch(evaluate.batch_metrics(p)).first()
     assert m.n_total == 8 and m.semantic_accuracy == 0.5 and m.diagnosis == "connectors"
     parts = evaluate.breakdown(p)
-    assert {(r.dimension, r.category): r.total for r in parts.collect()} == {("global", "all"): 8, ("complexity", "advanced"): 8, ("block", "x"): 1, ("connector", "∧"): 4, ("connector", "∨"): 4, ("length", "1-2"): 8, ("atoms", "2 átomos"): 8}
+    assert {(r.dimension, r.category): r.total for r in parts.collect()} == {("global", "all"): 8, ("complexity", "advanced"): 8, ("block", "x"): 1, ("connector", "∧"): 4, ("connector", "∨"): 4, ("length", "1-2 conectores"): 8, ("atoms", "2 átomos"): 8}
     assert {(r.rule, r.detail) for r in evaluate.diagnose(parts, p).collect()} == {("confusion", "∨ as ∧")}
     assert evaluate.error_examples(p, "i", 2).count() == 2 and evaluate.report_rows(parts).count() == 7
     none = evaluate.batch_metrics(p.where("false")).first()
