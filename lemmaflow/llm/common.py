@@ -102,12 +102,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialise() that nothing reads any more."""
-    path = getattr(df, "_lemmaflow_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_lemmaflow_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -229,8 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = two(least(large, state[0]), ("v", "m"), ("u", "m")).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
         nxt = materialise(small.distinct())
         new = tally(nxt)
-        discard(large)
-        discard(cur)
+        discard(large, cur)
         cur = nxt
         if new == state:
             break
