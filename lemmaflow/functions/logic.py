@@ -285,6 +285,12 @@ def parsed_strict(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([analyse(t, True) for t in texts], columns=PARSED.names)
 
 
+def validity(formula: Column, struct: Column) -> Column:
+    """struct<valid, message> of a formula and its `parsed` struct. The messages of a valid and of an empty formula."""
+    empty = F.length(F.regexp_replace(F.coalesce(formula, F.lit("")), r"(?U)\s", "")) == 0
+    return F.struct(struct.valid.alias("valid"), F.when(struct.valid, "OK").when(empty, "Formula vacia").otherwise(struct.error).alias("message"))
+
+
 def check_a(text: str | None) -> tuple[bool, list[str]]:
     """Whether grammar A accepts a text, and its atoms."""
     try:

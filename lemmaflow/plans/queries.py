@@ -88,7 +88,7 @@ def syntax_check(spark, d):
 _LIST = lambda x: f"array_to_string({x}, ' ; ')"
 
 
-@query(f"""WITH {made.MADE} SELECT doc_id, side, valid, CASE WHEN valid THEN {_LIST("atoms")} END AS atoms, CASE WHEN valid THEN {_LIST("conn")} END AS connectors, CASE WHEN valid THEN main END AS main,
+@query(f"""WITH {made.MADE} SELECT doc_id, side, valid, CASE WHEN valid THEN 'OK' ELSE 'error' END AS message, CASE WHEN valid THEN {_LIST("atoms")} END AS atoms, CASE WHEN valid THEN {_LIST("conn")} END AS connectors, CASE WHEN valid THEN main END AS main,
  CASE WHEN valid THEN canon ELSE trim(formula) END AS canonical, CASE WHEN valid THEN {_LIST(made.PARTS)} END AS subformulas, CASE WHEN valid THEN {made.NODES} END AS nodes FROM made""")
 def parse_formulas(spark, d):
     """Grammar B over references and predictions: validity, atoms, connectors, main connector, canonical form, subformulas and node count."""
@@ -96,7 +96,8 @@ def parse_formulas(spark, d):
     sides = f.select("doc_id", F.lit("r").alias("side"), "formula").union(f.select("doc_id", F.lit("p"), "prediction"))
     p = sides.withColumn("p", logic.parsed(F.col("formula")))
     joined = lambda c: F.array_join(c, " ; ")
-    return p.select("doc_id", "side", "p.valid", joined("p.atoms").alias("atoms"), joined("p.connectors").alias("connectors"), "p.main", "p.canonical", joined("p.subs").alias("subformulas"), logic.node_count(F.col("p.rpn")).cast("long").alias("nodes"))
+    checked = logic.validity(F.col("formula"), F.col("p"))
+    return p.select("doc_id", "side", checked.valid.alias("valid"), F.when(checked.message == "OK", "OK").otherwise("error").alias("message"), joined("p.atoms").alias("atoms"), joined("p.connectors").alias("connectors"), "p.main", "p.canonical", joined("p.subs").alias("subformulas"), logic.node_count(F.col("p.rpn")).cast("long").alias("nodes"))
 
 
 _ROW = "CASE WHEN z & 1 = 1 THEN 'T' ELSE 'F' END"

@@ -18,7 +18,7 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     kind = f"ARRAY<STRUCT<{_as_struct(EXAMPLE_DDL)}>>"
     raw = spark.read.text(path, wholetext=True)
     files = sorted(raw.inputFiles())
-    named = raw.select(F.col("_metadata.file_path").alias("_f"), "value")
+    named = raw.select(F.input_file_name().alias("_f"), "value")
     if len(files) > 1:
         order = spark.createDataFrame(list(enumerate(files)), "_n long, _f string")
         named = named.join(F.broadcast(order), "_f", "left")  # one row a file, which the driver lists anyway

@@ -106,6 +106,47 @@ def test_words_of_many_atoms(spark):
         assert len(r.m) == 8 and sum((w % (1 << 64)) << 64 * k for k, w in enumerate(r.m)) == logic.truth_bits(trees[r.i], atoms)
 
 
+def test_messages(spark):
+    df = spark.createDataFrame([("p → q",), ("  ",), (None,), ("p → → q",)], "f string").withColumn("p", logic.parsed("f"))
+    got = [r.m for r in df.select(logic.validity(F.col("f"), F.col("p")).alias("m")).collect()]
+    assert [(m.valid, m.message) for m in got[:3]] == [(True, "OK"), (False, "Formula vacia"), (False, "Formula vacia")] and not got[3].valid and got[3].message not in ("OK", "Formula vacia", "")
+
+
+def slow_matches(p, r):
+    """Pairs of equivalent subformulas, each used once, by truth tables."""
+    left = list(p)
+    hit = 0
+    for x in r:
+        for y in left:
+            a, b = logic.parse_b(x), logic.parse_b(y)
+            atoms = sorted(logic.names(a) | logic.names(b))
+            if all(value(a, dict(zip(atoms, bits))) == value(b, dict(zip(atoms, bits))) for bits in product([False, True], repeat=len(atoms))):
+                left.remove(y)
+                hit += 1
+                break
+    return hit
+
+
+def test_subformula_scores_and_verified_rewrites(spark):
+    """The two queries without SQL: subformulas against a naive matcher, rewrites against truth tables."""
+    rng = random.Random(3)
+    trees = [(random_tree(rng, 3), random_tree(rng, 3)) for _ in range(60)]
+    rows = [(i, logic.show(a, True), logic.show(b if i % 3 else a, True)) for i, (a, b) in enumerate(trees)]
+    for r in metrics.evaluate_pairs(spark.createDataFrame(rows, "i int, prediction string, reference string")).collect():
+        p, q = (sorted(set(logic.subformulas(logic.parse_b(x)))) for x in (r.prediction, r.reference))
+        want = (slow_matches(p, q) / len(q)) if q else float(not p)
+        assert r.comp_subformulas == pytest.approx(want), (r.prediction, r.reference)
+        assert r.compositional == pytest.approx((r.comp_atoms + r.comp_subformulas + r.comp_connector + r.comp_full) / 4)
+    df = spark.createDataFrame([(i, b) for i, _, b in rows], "i int, formula string")
+    made = augment.variants(df, "i", limit=2, verified=True).collect()
+    origin = {i: logic.parse_b(b) for i, _, b in rows}
+    assert len(made) > 20
+    for r in made:
+        a, b = origin[r.i], logic.parse_b(r.formula)
+        atoms = sorted(logic.names(a) | logic.names(b))
+        assert all(value(a, dict(zip(atoms, bits))) == value(b, dict(zip(atoms, bits))) for bits in product([False, True], repeat=len(atoms)))
+
+
 def test_printed_table(spark):
     df = spark.createDataFrame([("p → q",)], "formula string")
     assert logic.format_truth_table(df).first().table.split("\n") == ["p | q | p → q", "-|-".join(["-", "-", "-----"]), "F | F |   T", "F | T |   T", "T | F |   F", "T | T |   T"]

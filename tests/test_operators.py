@@ -108,6 +108,84 @@ def test_vocabulary(spark, tmp_path):
     assert files.read_vocabulary(spark, f"{tmp_path}/v") == merges
 
 
+def slow_merges(texts, merges, min_frequency=2):
+    """Merges by counting all pairs anew each time."""
+    import unicodedata
+    from collections import Counter
+
+    import regex
+
+    n = Counter(w for t in texts for w in regex.findall(vocabulary.SPLIT, unicodedata.normalize("NFC", t)))
+    table = {w: [f"{b:02X}" for b in w.encode()] for w in n}
+    out = []
+    while len(out) < merges:
+        pairs = Counter()
+        for w, p in table.items():
+            for x in zip(p, p[1:]):
+                pairs[x] += n[w]
+        if not pairs:
+            break
+        best = min(pairs, key=lambda x: (-pairs[x], x))
+        if pairs[best] < min_frequency:
+            break
+        out.append(best)
+        for w, p in table.items():
+            q = []
+            while p:
+                q.append("".join(p[:2]) if tuple(p[:2]) == best else p[0])
+                p = p[2 if tuple(p[:2]) == best else 1 :]
+            table[w] = q
+    return out
+
+
+def test_training_against_plain_counts(spark):
+    texts = ["It's the  cat's hat\n\n that we've   seen, isn't it? 12 345 aaaa aaaaa", "  the cat sat\tthere  ", "ño niño; año", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert vocabulary.train(df, "t", 60) == slow_merges(texts, 60)
+    import regex
+
+    words = df.select(F.explode(vocabulary.words(F.col("t"))).alias("w")).collect()
+    assert sorted(r.w for r in words) == sorted(w for t in texts for w in regex.findall(vocabulary.SPLIT, t))
+
+
+def test_examples_over_files(spark, tmp_path):
+    ex = {"natural_language_input": "a", "complexity": "simple", "output": {"formula": "p"}, "block": "b"}
+    for name, k in (("b.json", 2), ("a.json", 3)):
+        (tmp_path / name).write_text(json.dumps({"examples": [ex] * k} if k == 2 else [ex] * k))
+    assert sorted(r.pos for r in files.read_examples(spark, str(tmp_path)).collect()) == [0, 1, 2, 1 << 40, (1 << 40) + 1]
+
+
+def test_report(spark):
+    from lemmaflow.functions import metrics
+
+    rows = [(i, "p ∧ q", "p ∨ q" if i % 2 else "p ∧ q", ("advanced", "simple")[i % 2], "x") for i in range(8)]
+    p = metrics.evaluate_pairs(spark.createDataFrame(rows, "i int, prediction string, reference string, complexity string, block string"))
+    parts = evaluate.breakdown(p)
+    placed = [(r.dimension, r.label) for r in evaluate.report_rows(parts).collect()]
+    assert placed == [("global", "Global"), ("complexity", "Simple"), ("complexity", "Advanced"), ("connector", "∧"), ("connector", "∨"), ("block", "X"), ("length", "1-2 conectores"), ("atoms", "2 átomos")]
+    doc = json.loads(evaluate.report_document(parts, p).first().report)
+    assert list(doc) == ["total", "global", "by_complexity", "by_connector", "by_block", "by_length", "by_n_atoms", "confusion_matrix"]
+    assert doc["total"] == 8 and doc["global"]["semantic_accuracy"] == 0.5 and list(doc["by_complexity"]) == ["simple", "advanced"]
+    assert doc["confusion_matrix"] == {"∧": {"∧": 4}, "∨": {"∧": 4}} and doc["by_connector"]["∧"]["exact_match"] == 1.0 and "compositional_avg" in doc["global"]
+    assert json.loads(evaluate.report_document(evaluate.breakdown(p.where("false")), p.where("false")).first().report)["total"] == 0
+
+
+def test_composed_thoughts(spark):
+    from lemmaflow.operators import augment
+
+    ex = [(i, f"Frase {i}", f"p{i} ∧ q", "simple", {"reasoning_steps": [{"step": 1, "explanation": "x"}], "identified_atoms": [{"atom": f"p{i}", "definition": "d"}], "identified_connectors": [{"connector": "∧", "natural_language_cue": "y"}]}) for i in range(4)]
+    from lemmaflow.schema import EXAMPLE_DDL, schema
+
+    thought = schema(EXAMPLE_DDL)["thought"].dataType.simpleString()
+    df = spark.createDataFrame(ex, f"i int, nl string, formula string, complexity string, thought {thought}")
+    out = augment.compose(df, "i").collect()
+    assert len(out) == 2
+    for r in out:
+        assert [s.explanation for s in r.thought.reasoning_steps] == ["Composición de dos proposiciones"] and len(r.thought.identified_atoms) == 2
+        middle = r.thought.identified_connectors[1]
+        assert len(r.thought.identified_connectors) == 3 and middle.connector == r.connector and middle.natural_language_cue in augment.CUES[r.connector]
+
+
 def test_files(spark, tmp_path):
     ex = {"natural_language_input": "a", "complexity": "simple", "thought": {"reasoning_steps": [{"step": 1, "explanation": "x"}]}, "output": {"formula": "p ∧ q"}, "block": "b"}
     (tmp_path / "d.json").write_text(json.dumps({"examples": [ex, ex]}, ensure_ascii=False))
