@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by one Python worker.
 SLICE_BYTES = 8 << 20
-#: Most edges whose nodes' minima (two a edge at most) are joined by broadcast in components().
-FEW_EDGES = 250_000
+#: Most rows of a narrow table that is joined by broadcast once they have been counted. Results don't depend on it.
+FEW = 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on executors, wherever the driver found it. Done once a context."""
+    """Make this package importable on executors, wherever the driver found it. Done once a context.
+
+    Also bounds the bytes of the session's Arrow batches, where nobody has set them: ten thousand long texts in
+    one batch are held by a task several times over.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{SLICE_BYTES}b")
     sc = spark.sparkContext
     if getattr(sc, "_lemmaflow_shipped", False):
         return
@@ -155,10 +161,17 @@ def keeps(clear: Callable) -> None:
 
 
 def settle(owner: str) -> None:
-    """At the start of a task: drop what another operator has left in this Python worker."""
+    """At the start of a task: drop what another operator has left in this Python worker, and give its memory back."""
     if _OWNER and _OWNER[0] != owner:
+        import ctypes
+        import gc
+
         for clear in _CLEAR:
             clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed memory stays with the process otherwise
+        if trim is not None:
+            trim(0)
     _OWNER[:] = [owner]
 
 
@@ -203,6 +216,11 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame)
     return rows.join(hot, key).unionByName(cool)
 
 
+def if_few(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most FEW rows; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component = smallest node; nodes without edges are absent.
 
@@ -216,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def least(e: DataFrame, rows: int) -> DataFrame:
         m = e.groupBy("u").agg(F.min("v").alias("m"))
-        return e.join(F.broadcast(m) if rows <= FEW_EDGES else m, "u").withColumn("m", F.least("u", "m"))
+        return e.join(F.broadcast(m) if rows <= FEW else m, "u").withColumn("m", F.least("u", "m"))
 
     def tally(e: DataFrame):
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -526,6 +526,30 @@ def test_near_passages(spark):
     assert substring.chain([(0, 20, 0, 20)]) == []
 
 
+def test_near_passages_are_found(spark):
+    """At least nine of ten passages of 50 words or more that differ in some words, at 0.8 or more, are covered; nothing else is."""
+    rng = random.Random(47)
+    rows, spans = [], {}
+    while len(spans) < 60:
+        base = prose(rng, rng.choice([50, 70, 100, 160]), 50_000).split()
+        near = list(base)
+        for _ in range(rng.randrange(1, max(2, len(base) // 45 + 1))):
+            k = rng.randrange(len(near))
+            near[k : k + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
+        if not 0.8 <= jaccard(" ".join(base), " ".join(near)) < 1:
+            continue
+        a = prose(rng, rng.randrange(5, 60), 1_000_000).split()
+        rows += [" ".join([prose(rng, 20, 1_000_000), *base, prose(rng, 20, 1_000_000)]), " ".join([*a, *near, prose(rng, 20, 1_000_000)])]
+        spans[len(rows) - 1] = (len(a), len(a) + len(near))
+    got: dict = {}
+    for r in substring.repeats(docs_of(spark, rows)).collect():
+        if not r.kept:
+            got.setdefault(r.doc_id, set()).update(range(r.first_word, r.last_word + 1))
+    assert set(got) <= set(spans)
+    share = [len(got.get(d, set()) & set(range(a, e))) / (e - a) for d, (a, e) in spans.items()]
+    assert sum(x >= 0.8 for x in share) >= 0.9 * len(share)
+
+
 def slow_covered(texts, least=50):
     """(text, word) of all words in a run of `least` words that stands at an earlier place too."""
     first, out = {}, set()
@@ -788,3 +812,57 @@ def test_join_unique(spark):
     out = common.join_unique(rows, table, "k", counts)
     assert out.count() == 6000 and out.where("v <> 2 * k").count() == 0
     assert common.join_unique(rows.where("false"), table, "k", counts.where("false")).count() == 0
+
+
+def row_wise(spark):
+    """Every operator that gives one row a document, as name: function of documents."""
+    rng = random.Random(48)
+    teach = spark.createDataFrame([(i, prose(rng, 60), ("aa", "bb")[i % 2], i % 2, i % 3 > 0) for i in range(40)], "doc_id long, text string, lang string, toxic int, good boolean").selectExpr("*", "int(good) as quality")
+    language, toxic, good = langid.fit(teach), toxicity.fit(teach.select("doc_id", "text"), teach.select("doc_id", "toxic")), quality.fit(teach.select("doc_id", "text"), teach.select("doc_id", "quality"))
+    return {
+        "op1": lambda d: langid.identify(d, language), "op2": bpe.digests, "op3": lambda d: toxicity.score(d, toxic), "op4": token_counts.token_counts,
+        "op5": simhash.near_duplicates, "op6": lambda d: quality.judge(d, good), "op8": licenses.scan,
+    }
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows are independent of their ids: each keeps its place, equal texts fare alike, nothing is lost."""
+    rng = random.Random(49)
+    a, b = prose(rng, 60), prose(rng, 80) + " you moron. MIT License"
+    rows = [(None, a), (1, a), (1, a), (1, b), (None, b), (None, None), (2, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], DOCS)
+    for name, run in row_wise(spark).items():
+        out = [r.asDict(True) for r in run(docs).collect()]
+        assert sorted((r["doc_id"] or 0 for r in out)) == sorted(i or 0 for i, _ in rows), name
+        own = lambda r: repr([v for k, v in sorted(r.items()) if k not in ("doc_id", "component_id")])
+        assert len({own(r) for r in out}) == 3 and sum(own(r) == own(next(x for x in out if x["doc_id"] == 2)) for r in out) == 3, name
+    item = " ".join(a.split()[:30])
+    found = decontam.leaks(docs, spark.createDataFrame([(7, item), (7, item), (None, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 7), (1, 7)]
+
+
+def test_very_long_texts(spark):
+    """One text of 200,000 words among short ones: read whole, in time in proportion to its length."""
+    rng = random.Random(50)
+    words = prose(rng, 200_000, 50_000).split()
+    long, passage = " ".join(words), " ".join(words[150_000:150_080])
+    docs = docs_of(spark, [long, prose(rng, 60), f"{prose(rng, 40, 1_000_000)} {passage}", None])
+    for name, run in row_wise(spark).items():
+        out = {r.doc_id: r for r in run(docs).collect()}
+        assert set(out) == {0, 1, 2, 3}, name
+        if name in ("op6", "op8"):
+            assert out[0].n_words == 200_000
+        if name == "op2":
+            assert out[0].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+        if name == "op5":
+            assert out[0].fingerprint == f"{slow_fingerprint(long):016x}"
+    found = decontam.leaks(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [0, 2]
+    gone = [r for r in substring.repeats(docs).collect() if not r.kept]
+    assert [(r.doc_id, r.keeper_doc_id, r.first_word, r.last_word) for r in gone] == [(2, 0, 40, 119)]
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, "user", f"t{i}") for i in range(3000)] + [(2, i, "user", f"t{i}") for i in range(2999)] + [(None, 0, None, None), (3, None, "user", "x")]
+    out = {r.conv_id: r for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {1, None, 3} and out[1].n_turns == 3000 and out[1].rendered.endswith("t2999<|end|>\n")
