@@ -531,6 +531,17 @@ def batch_loader(spark, d):
     return b.groupBy(F.col("bucket").cast("long").alias("bucket"), F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n_rows"), F.max(F.size("padded")).cast("long").alias("width"), F.sum(real).alias("n_real"))
 
 
+@query(f"""WITH RECURSIVE r AS (SELECT conv_id * 1000 + turn AS k, least(len({_IDS}), 128) AS n, row_number() OVER (ORDER BY md5('42|pack|' || (conv_id * 1000 + turn)), conv_id * 1000 + turn) AS rank FROM conversations),
+ l AS (SELECT (rank - 1) // 64 AS shard, (rank - 1) % 64 + 1 AS i, n FROM r), w AS (SELECT shard, i, n, 0 AS bin, n AS used FROM l WHERE i = 1
+ UNION ALL SELECT l.shard, l.i, l.n, CASE WHEN w.used > 0 AND w.used + l.n > 128 THEN w.bin + 1 ELSE w.bin END, CASE WHEN w.used > 0 AND w.used + l.n > 128 THEN l.n ELSE w.used + l.n END FROM w JOIN l ON l.shard = w.shard AND l.i = w.i + 1)
+SELECT shard, bin::BIGINT AS bin, count(*) AS n_docs, sum(n)::BIGINT AS n_real_tokens FROM w GROUP BY 1, 2""")
+def shuffled_packing(spark, d):
+    """A loader that shuffles sequences and packs them by shards of 64."""
+    t = _conv_ids(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "ids", F.lit("simple").alias("complexity"))
+    b = batching.batches(t, "k", "ids", 8, 128, packing=True, shard_rows=64)
+    return b.select("shard", F.col("bin").cast("long").alias("bin"), F.col("n_docs").cast("long").alias("n_docs"), F.col("n_real_tokens").cast("long").alias("n_real_tokens"))
+
+
 @query("SELECT i, j FROM range(0, 64) a(i), range(0, 64) b(j) WHERE j <= i")
 def causal_mask(spark, d):
     return batching.causal_mask(spark, 64)
@@ -631,6 +642,35 @@ def split_files_round_trip(spark, d):
     return both.groupBy(F.col("block").cast("long").alias("doc_id"), F.col("complexity").alias("lang"), "sequence").agg(F.count("*").alias("n"))
 
 
+@query("SELECT (SELECT count(*) FROM documents) AS n_lines, conv_id, turn, text AS sequence FROM conversations")
+def corpus_file(spark, d):
+    """Lines of a file counted, and the sequences of a corpus file read."""
+    path, other = files.work_folder(spark), files.work_folder(spark)
+    _table(spark, d, "documents").select("doc_id").write.json(path)
+    _table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("sequence")).write.json(other)
+    rows = files.read_corpus(spark, other)
+    n = files.count_examples(spark, path).select(F.col("n").alias("n_lines"))
+    named = _table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("h"))
+    return named.join(rows.select("sequence", F.md5(F.col("sequence").cast("binary")).alias("h")).distinct(), "h").crossJoin(F.broadcast(n)).select("n_lines", "conv_id", "turn", "sequence")
+
+
+@query("SELECT page_id, NOT (list_has_any(string_split(url, '/'), ['tag', 'data', 'cache']) OR url LIKE '%.html' OR url LIKE '%7') AS packed FROM pages")
+def archive_filter(spark, d):
+    """Paths that an archive takes."""
+    return _table(spark, d, "pages").select("page_id", files.packable_column(F.col("url"), {"tag", "data", "cache"}, (".html", "7")).alias("packed"))
+
+
+@query("SELECT doc_id, upper(lang) || '-' || source AS reply FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def generate_replies(spark, d):
+    """A generator called for each request."""
+    requests = _table(spark, d, "documents").where("lang is not null and source is not null").select("doc_id", "lang", "source")
+    return files.generate(requests, _echo).select("doc_id", "reply")
+
+
+def _echo(request: dict) -> str:
+    return f"{request['lang'].upper()}-{request['source']}"
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0")
 def resume_from_progress(spark, d):
     """What is pending after two commits of progress were appended and read again."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EXAMPLE_DDL, PROCESSED_DDL
@@ -138,6 +138,15 @@ def generate(requests: DataFrame, call: Callable[[dict], str | None], reply: str
     return requests.mapInPandas(run, schema)
 
 
+def packable_column(path: Column, ignored_parts: set[str], ignored_suffixes: tuple[str, ...]) -> Column:
+    """packable() of a column of paths."""
+    parts = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, sorted(ignored_parts))).cast("array<string>"))
+    suffix = F.lit(False)
+    for x in ignored_suffixes:
+        suffix = suffix | F.endswith(path, F.lit(x))
+    return ~(parts | suffix)
+
+
 def packable(path: str, ignored_parts: set[str], ignored_suffixes: tuple[str, ...]) -> bool:
     """Whether a project archive takes a path: none of its parts, nor its suffix, is ignored."""
     return not (set(path.split("/")) & ignored_parts) and not path.endswith(ignored_suffixes)
