@@ -185,6 +185,7 @@ class Grammar:
         self.learned = learned  # "word" or "word*"
         self.after, self.label = automaton()
         self.kept: dict[str, tuple] = {}
+        self.hot: set[str] = set()  # tokens of kept in which a match may end or begin
 
     def word(self, raw: str) -> tuple[str, float]:
         """Symbol and weight of a raw token's word."""
@@ -201,7 +202,7 @@ class Grammar:
         return next(((kind, 1.0) for kind, words in _KINDS if w in words), ("other", 0.0))
 
     def read(self, raw: str) -> tuple:
-        """Symbols (index, weight) of a raw token, with its quotation marks, and whether a match may end or begin in it."""
+        """Symbols (index, weight) of a raw token, with its quotation marks."""
         got = self.kept.get(raw)
         if got is None:
             kind, weight = self.word(raw)
@@ -210,7 +211,9 @@ class Grammar:
                 symbols.insert(0, (SYMBOLS.index("open"), 0.0))
             if len(raw) > 1 and raw[-1] in _QUOTES:
                 symbols.append((SYMBOLS.index("close"), 0.0))
-            got = self.kept[raw] = (tuple(symbols), kind in ("insult", "harm"))
+            got = self.kept[raw] = tuple(symbols)
+            if kind in ("insult", "harm"):
+                self.hot.add(raw)
         return got
 
     def clause(self, words: list[str]) -> list[tuple[int, float]]:
@@ -218,7 +221,7 @@ class Grammar:
         state, out, last = 0, [], 0.0
         after, label, read = self.after, self.label, self.read
         for raw in words:
-            for symbol, weight in read(raw)[0]:
+            for symbol, weight in read(raw):
                 if symbol in (1, 2):
                     last = weight
                 k = label[state][symbol]
@@ -231,12 +234,20 @@ class Grammar:
         """The matched clauses of a text."""
         if len(self.kept) > CACHE_ENTRIES:
             self.kept.clear()
-        low, read = (text or "").lower(), self.read
-        hot = {t for t in set(low.split()) if read(t)[1]}
-        if not hot:
+            self.hot.clear()
+        low, hot = (text or "").lower(), self.hot
+        tokens = set(low.split())
+        for t in tokens.difference(self.kept):
+            self.read(t)
+        if hot.isdisjoint(tokens):
             return []
-        found = (self.clause(words) for words in map(str.split, _CLAUSE.split(low)) if any(read(t)[1] for t in words))
-        return [x for x in found if x]
+        out = []
+        for words in map(str.split, _CLAUSE.split(low)):
+            for t in words:
+                self.read(t)  # a clause's end can cut a token
+            if not hot.isdisjoint(words):
+                out.append(self.clause(words))
+        return [x for x in out if x]
 
     def features(self, text: str | None) -> list[list[float]]:
         """Word weights by label of each matched clause."""

@@ -666,6 +666,37 @@ def test_license_gates_lose_nothing():
     assert labels("Berkeley Software Distribution License") == "bsd" and labels("Open Database License") == "odbl" and labels("Expat license") == "mit"
 
 
+def slow_scan(text):
+    """Labels and score by all rules one after the other, and suppression read off its definition."""
+    from re import _parser  # noqa: F401
+
+    normal = " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+    found = [(rank, m.start(), m.end(), label) for rank, label, _, pattern in licenses.rules() for m in pattern.finditer(normal)]
+    better = lambda d, k: (k[0], k[1] - k[2], k[1], -len(k[3]), k[3]) < (d[0], d[1] - d[2], d[1], -len(d[3]), d[3])
+    kept = {d for d in found if not any(better(d, k) and k[1] <= d[1] and d[2] <= k[2] for k in found)}
+    base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {normal} "}
+    score = 1.0
+    for rank, *_ in kept:
+        score *= {0: 0.05, 1: 0.05, 2: 0.15, 3: 0.4, 4: 0.4}[rank]
+    return ",".join(sorted(base | {d[3] for d in kept})), 1 - score * 0.3 ** len(base)
+
+
+def test_license_labels_against_brute_force():
+    from re import _parser
+
+    rng = random.Random(51)
+    rules = licenses.rules()
+    inner = lambda r: r[3].pattern.removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts += [prose(rng, rng.randrange(4)), a_match(rng, _parser.parse(inner(rng.choice(rules))))]
+        t = " ".join(parts)
+        labels, score = slow_scan(t)
+        got = licenses.scan_text(t)
+        assert got[5] == labels and got[6] == pytest.approx(score), t
+
+
 # 9 chat
 
 
