@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import logic, metrics, text, vectors
 from ..operators import augment, batching, curate, evaluate, vocabulary
 from ..schema import CONNECTORS
+from ..shipping import ship
 from ..sources import files
 from . import chains, made
 
@@ -20,6 +21,7 @@ DOC = "lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -89,7 +91,7 @@ _LIST = lambda x: f"array_to_string({x}, ' ; ')"
 
 
 @query(f"""WITH {made.MADE} SELECT doc_id, side, valid, CASE WHEN valid THEN 'OK' ELSE 'error' END AS message, CASE WHEN valid THEN {_LIST("atoms")} END AS atoms, CASE WHEN valid THEN {_LIST("conn")} END AS connectors, CASE WHEN valid THEN main END AS main,
- CASE WHEN valid THEN canon ELSE trim(formula) END AS canonical, CASE WHEN valid THEN {_LIST(made.PARTS)} END AS subformulas, CASE WHEN valid THEN {made.NODES} END AS nodes FROM made""")
+ CASE WHEN valid THEN canon ELSE trim(formula) END AS canonical, CASE WHEN valid THEN {_LIST(made.PARTS)} END AS subformulas, CASE WHEN valid THEN {made.NODES} ELSE 0 END::BIGINT AS nodes FROM made""")
 def parse_formulas(spark, d):
     """Grammar B over references and predictions: validity, atoms, connectors, main connector, canonical form, subformulas and node count."""
     f = _formulas(spark, d)
@@ -97,7 +99,7 @@ def parse_formulas(spark, d):
     p = sides.withColumn("p", logic.parsed(F.col("formula")))
     joined = lambda c: F.array_join(c, " ; ")
     checked = logic.validity(F.col("formula"), F.col("p"))
-    return p.select("doc_id", "side", checked.valid.alias("valid"), F.when(checked.message == "OK", "OK").otherwise("error").alias("message"), joined("p.atoms").alias("atoms"), joined("p.connectors").alias("connectors"), "p.main", "p.canonical", joined("p.subs").alias("subformulas"), logic.node_count(F.col("p.rpn")).cast("long").alias("nodes"))
+    return p.select("doc_id", "side", checked.valid.alias("valid"), F.when(checked.message == "OK", "OK").otherwise("error").alias("message"), joined("p.atoms").alias("atoms"), joined("p.connectors").alias("connectors"), "p.main", "p.canonical", joined("p.subs").alias("subformulas"), F.coalesce(logic.node_count(F.col("p.rpn")), F.lit(0)).cast("long").alias("nodes"))
 
 
 _ROW = "CASE WHEN z & 1 = 1 THEN 'T' ELSE 'F' END"
