@@ -7,11 +7,9 @@ the session names in spark.checkpoint.dir, and Python code runs over Arrow batch
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -20,6 +18,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Bytes of text handled at once by one Python worker.
 SLICE_BYTES = 8 << 20
 #: Most rows of a narrow table that is joined by broadcast once they have been counted. Results don't depend on it.
@@ -38,20 +38,7 @@ def ship_package(spark: SparkSession) -> None:
     """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{SLICE_BYTES}b")
-    sc = spark.sparkContext
-    if getattr(sc, "_lemmaflow_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="lemmaflow-"))
-    target = os.path.join(folder, "lemmaflow_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for top, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(top, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(target)
-    sc._lemmaflow_shipped = True
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
