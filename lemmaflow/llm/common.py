@@ -24,6 +24,8 @@ from ..shipping import ship
 SLICE_BYTES = 8 << 20
 #: Most rows of a narrow table that is joined by broadcast once they have been counted. Results don't depend on it.
 FEW = 250_000
+#: Rows of a join that no task minds, whatever their keys.
+LITTLE = 20_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -198,6 +200,8 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame)
     a thousand keys) are joined by broadcast where their rows lie; only the others are shuffled.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
+    if total <= LITTLE:
+        return rows.join(table, key)
     hot = F.broadcast(table.join(counts.where(F.col("n") > total // 1000).select(key), key, "left_semi"))
     cool = rows.join(hot.select(key), key, "left_anti").join(table, key)
     return rows.join(hot, key).unionByName(cool)
