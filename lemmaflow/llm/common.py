@@ -193,17 +193,18 @@ def map_text(df: DataFrame, column: str, fn: Callable, added: str, limit: int =
     return df.mapInArrow(partial(_apply, fn=fn, column=column, names=schema.names, schema=arrow, limit=limit), schema)
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+def join_unique(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
     """Inner join of rows with a table of one row a key, where a few keys may hold most rows.
 
-    counts has each key's number of rows as n. Keys with more than a thousandth of all rows (so at most
-    a thousand keys) are joined by broadcast where their rows lie; only the others are shuffled.
+    The table's column n, each key's number of rows, is left out of the result. Keys with more than a thousandth of
+    all rows (so at most a thousand keys) are joined by broadcast where their rows lie; only the others are shuffled.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = table.agg(F.sum(n)).first()[0] or 0
+    plain = table.drop(n)
     if total <= LITTLE:
-        return rows.join(table, key)
-    hot = F.broadcast(table.join(counts.where(F.col("n") > total // 1000).select(key), key, "left_semi"))
-    cool = rows.join(hot.select(key), key, "left_anti").join(table, key)
+        return rows.join(plain, key)
+    hot = F.broadcast(table.where(F.col(n) > total // 1000).drop(n))
+    cool = rows.join(hot.select(key), key, "left_anti").join(plain, key)
     return rows.join(hot, key).unionByName(cool)
 
 

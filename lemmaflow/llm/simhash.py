@@ -77,9 +77,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = groups.join(reps.select("fp", "rep"), groups.node == reps.fp).select("node", "component", "rep")
     smallest = named.groupBy("component").agg(F.min("rep").alias("least"))
     of_group = named.join(smallest, "component").select("node", "least")
-    of_fp = reps.join(of_group, reps.fp == of_group.node, "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    of_fp = reps.join(of_group, reps.fp == of_group.node, "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
     of_fp = materialise(of_fp)
-    return join_unique(fps, of_fp, "fp", reps.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_unique(fps, of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
