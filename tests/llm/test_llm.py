@@ -840,11 +840,10 @@ def test_join_unique(spark, monkeypatch, little):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(6000)], "k long, i long")
-    table = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
-    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
-    out = common.join_unique(rows, table, "k", counts)
-    assert out.count() == 6000 and out.where("v <> 2 * k").count() == 0
-    assert common.join_unique(rows.where("false"), table, "k", counts.where("false")).count() == 0
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    out = common.join_unique(rows, table, "k")
+    assert out.columns == ["k", "i", "v"] and out.count() == 6000 and out.where("v <> 2 * k").count() == 0
+    assert common.join_unique(rows.where("false"), table.where("false"), "k").count() == 0
 
 
 def row_wise(spark):
