@@ -28,11 +28,11 @@ from .common import keeps, map_text
 
 #: Entries of each of a worker's two tables of encoded pre-tokens; when the young one is full it becomes the old
 #: one, and what is used again moves back. Results don't depend on it.
-CACHE_ENTRIES = 160_000
+CACHE_ENTRIES = 300_000
 
 
 #: Pairs of neighbours whose stability a worker remembers; results don't depend on it.
-KNOWN_PAIRS = 120_000
+KNOWN_PAIRS = 500_000
 
 
 def default_path() -> str:
