@@ -57,14 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and no task has the only copy."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lemmaflow_path = path
+    return out
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet; what is written there is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_at_exit)
     _WRITTEN.append((spark, path))
-    return out
+    return path
 
 
 _WRITTEN: list = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, quality, simhash, substring, token_counts, toxicity, trie
+from . import bpe, chat, decontam, langid, licenses, quality, records, simhash, substring, token_counts, toxicity, trie
 from .common import crc_bucket, read_table
 
 
@@ -61,8 +61,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.digests(spark, records.write(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    found = (op1_language_id, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_quality, op7_substring_dedup, op8_licenses, op9_chat, op10_decontamination, op12_conversation_trie)
+    found = (op1_language_id, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_quality, op7_substring_dedup, op8_licenses, op9_chat, op10_decontamination, op12_conversation_trie, op13_token_records)
     return {f.__name__: f for f in found}
 
 
