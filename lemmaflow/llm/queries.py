@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, quality, records, simhash, substring, token_counts, toxicity, trie
+from . import bpe, chat, decontam, divergence, langid, licenses, quality, records, simhash, substring, token_counts, toxicity, trie
 from .common import crc_bucket, read_table
 
 
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -66,9 +70,9 @@ def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_quality, op7_substring_dedup, op8_licenses, op9_chat, op10_decontamination, op12_conversation_trie, op13_token_records)
+    found = (op1_language_id, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_quality, op7_substring_dedup, op8_licenses, op9_chat, op10_decontamination, op11_source_divergence, op12_conversation_trie, op13_token_records)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.ORACLE, "op10_decontamination": decontam.ORACLE, "op12_conversation_trie": trie.ORACLE}
+    return {"op9_chat": chat.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_conversation_trie": trie.ORACLE}
