@@ -26,6 +26,7 @@ an empty manifest. Extra columns are not carried. A damaged record or index rais
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -109,6 +110,9 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.model._resize_cache(0)  # what comes here is new to it
+        #: Ids of a punctuation mark that ends a word of ASCII letters, and so is a pre-token of its own.
+        self.marks = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in _VISIBLE if not c.isalnum()}
         self.words: dict[str, bytes] = {}  # by what follows a space
         self.old: dict[str, bytes] = {}
         self.line_break = self.tokenizer.token_to_id("Ċ")  # as a byte-level vocabulary spells it
@@ -119,7 +123,7 @@ class Pieces:
         out = {}
         for i in range(0, len(words), 4000):
             some = words[i : i + 4000]
-            ids = np.array(self.tokenizer.encode(" " + "\n ".join(some) + "\n", add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some) + "\n"], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.line_break)
             assert len(ends) == len(some), "the library cuts words otherwise than expected"
             raw, at = ids.tobytes(), (ends * 4).tolist()
@@ -157,8 +161,10 @@ class Pieces:
             if len(p) <= 64:
                 self.pieces[p] = local[p]
         known = lambda p: local.get(p) or new.get(p[1:], b"")
-        for got, i, w in todo:
-            got[i] = new[w]
+        for got, i, word, stem, tail in todo:
+            got[i] = new[stem] + tail
+            if tail and len(word) <= 64:
+                self.words[word] = got[i]
         for (got, i, _), pieces in zip(odd, uncommon, strict=True):
             got[i] = b"".join(map(known, pieces))
         self.words.update((w, ids) for w, ids in new.items() if len(w) <= 64)
@@ -166,18 +172,24 @@ class Pieces:
 
     def _misses(self, parts: list[str], got: list, todo: list, new: dict, odd: list) -> None:
         """Words that aren't known; one after which no cut is safe is encoded together with what follows."""
-        n, done, old = len(parts), 0, self.old.get
+        n, done, get, old, marks = len(parts), 0, self.words.get, self.old.get, self.marks.get
         for i in ([0] if parts[0] else []) + [i for i, g in enumerate(got) if g is None]:
             if i < done:
                 continue
             word = parts[i]
             if i and word and word[-1] in _VISIBLE and "\n" not in word:
                 ids = old(word)
-                if ids is not None:
-                    got[i] = self.words[word] = ids
-                else:
-                    todo.append((got, i, word))
-                    new[word] = b""
+                if ids is None:
+                    tail, stem = marks(word[-1], b""), word[:-1]
+                    if not (tail and stem.isalpha() and stem.isascii()):
+                        tail, stem = b"", word
+                    ids = (get(stem) or old(stem)) if tail else None
+                    if ids is None:
+                        todo.append((got, i, word, stem, tail))
+                        new[stem] = b""
+                        continue
+                    ids += tail
+                got[i] = self.words[word] = ids
                 continue
             j = i + 1
             while j < n and (not parts[j - 1] or parts[j - 1][-1] not in _VISIBLE):
@@ -193,6 +205,7 @@ keeps(_KNOWN.clear)
 
 def _pieces(path: str | None) -> Pieces:
     if path not in _KNOWN:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         _KNOWN[path] = Pieces(path)
     return _KNOWN[path]
 
