@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_order, rank_of
 from ..schema import IGNORED_TARGET
+from .packing import pack_all
 from .ranking import ranked
 
 
@@ -123,9 +124,15 @@ def rope_table(spark, places: int, width: int, base: float = 10000.0) -> DataFra
     return spark.range(places).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(width // 2 - 1))).alias("k")).select("pos", "k", F.cos(angle).alias("cos"), F.sin(angle).alias("sin"))
 
 
-def batches(df: DataFrame, key: str, ids: str, batch: int, most: int, packing: bool = False, shard_rows: int = 4096) -> DataFrame:
-    """Rows ready for a trainer: packed sequences, or padded ones by bucket."""
+def batches(df: DataFrame, key: str, ids: str, batch: int, most: int, packing: bool = False, shard_rows: int | None = 4096) -> DataFrame:
+    """Rows ready for a trainer: packed sequences, or padded ones by bucket.
+
+    Packing begins anew every shard_rows sequences, or never (None): then bins are those of one pass over all sequences.
+    """
     d = tokenised(df, ids, max_len=most)
+    if packing and shard_rows is None:
+        out = pack_all(d.withColumn("_h", hash_order("pack", F.col(key))), ["_h", key], ids, most)
+        return out.withColumn("targets", packed_targets(F.col("input_ids"), F.col("doc_ids")))
     if packing:
         s = ranked(d, [hash_order("pack", F.col(key)), F.col(key)], F.substring(hash_order("pack", F.col(key)), 1, 3))
         out = pack(s, F.floor((F.col("rank") - 1) / shard_rows), "rank", ids, most)

@@ -11,19 +11,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.logic import nfc
 from ..schema import SPECIAL_TOKENS
+from ..shipping import ship
+from ..sources.files import work_folder
 
 #: Fixed value: the public byte-level split: contractions, then letters, digits or signs with one space before them; white space
 #: in front of a word leaves its last character to it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD = "(?U)" + SPLIT
-#: Most distinct words whose merges are found in one process; more are merged by rounds over the cluster, with the same result.
-LOCAL_WORDS = 2_000_000
+#: Most distinct segments of words, and most pairs, that a round of training brings to the driver. Merges don't depend on them.
+SEGMENTS, MOST_PAIRS = 50_000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -47,50 +50,144 @@ def pair_counts(table: DataFrame, parts: str = "parts", n: str = "n") -> DataFra
     return table.select(F.explode(both).alias("p"), n).groupBy("p.left", "p.right").agg(F.sum(n).alias("n"))
 
 
-def merge_pair(parts: Column, left: str, right: str) -> Column:
-    """Join each occurrence of a pair, from the left, without overlap."""
-    def step(acc, x):
-        join = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == left) & (x == right)
-        return F.when(join, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(left + right)))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.when(F.array_contains(parts, left) & F.array_contains(parts, right), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts)
-
-
-def train(df: DataFrame, text: str, merges: int, min_frequency: int = 2, checkpoint_every: int = 20, local_words: int = LOCAL_WORDS) -> list[tuple[str, str]]:
+def train(df: DataFrame, text: str, merges: int, min_frequency: int = 2, segments: int | None = None, log: list | None = None) -> list[tuple[str, str]]:
     """Merges in order, as hexadecimal symbols: at most `merges`, each of a pair seen min_frequency times or more; ties go to the smaller pair.
 
-    Words are counted by an aggregate. A table of at most local_words distinct words is merged by one
-    process, which changes only the counts of the words that have the pair; a larger one is rewritten by rounds, which
-    need a checkpoint folder that all executors share.
+    Runs in rounds over a table of distinct words that stays on the cluster. A round takes the most frequent pairs, those with more than some count, and cuts each
+    word where two neighbours are not such a pair. No later merge across a cut can be as frequent (each of its occurrences is one of
+    the pair that was cut), so the distinct segments with their frequencies decide all merges down to that count, in their exact order. There are far fewer
+    segments than words; how many pairs a round takes follows from a bound on segments, which alone reach the driver. The words are then
+    rewritten with the round's merges, and those of one symbol are left out. If even the pairs of one count are too many, the first of them by name are taken, and
+    the round ends where a merge across a cut could come first.
+
+    log gets, for each round, the numbers of its pairs, segments and merges.
     """
     spark = df.sparkSession
-    counted = word_counts(df, text).persist()
-    try:
-        if counted.count() <= local_words:
-            got = counted.where("length(word) > 0").toArrow()
-            return merge_words(zip(got["word"].to_pylist(), got["n"].to_pylist()), merges, min_frequency)
-        if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", ""):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        table = counted.select(symbols(F.col("word")).alias("parts"), "n").checkpoint()
-    finally:
-        counted.unpersist()
+    ship(spark)
+    most = segments or SEGMENTS
+    table = _table(word_counts(df, text).where("length(word) > 0").select(symbols(F.col("word")).alias("parts"), "n"))
     out: list[tuple[str, str]] = []
+    take = 256
     while len(out) < merges:
-        best = pair_counts(table).orderBy(F.desc("n"), "left", "right").first()
-        if best is None or best["n"] < min_frequency:
+        ranked = pair_counts(table).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right")
+        top = [((r["left"], r["right"]), r["n"]) for r in ranked.limit(take + 1).collect()]
+        if not top:
+            break
+        while True:
+            hot, least, tied = _hot(top, take, min_frequency)
+            found = _segments(table, hot)
+            found = (found.limit(most + 1) if len(hot) > 1 else found).toArrow()  # of one pair there are runs of it only
+            if found.num_rows <= most or len(hot) == 1:
+                break
+            take = max(1, len(hot) // 2)
+        words = zip((x.split(" ") for x in found["segment"].to_pylist()), found["n"].to_pylist())  # noqa: B905
+        new = merge_symbols(words, merges - len(out), least, max(hot) if tied else None)
+        if log is not None:
+            log.append((len(hot), found.num_rows, len(new)))
+        out += new
+        take = min(4 * take, MOST_PAIRS) if found.num_rows < most // 4 else take
+        if len(out) < merges:
+            done, table = table, _table(_rewritten(table, new))
+            _drop(done)
+    return out
+
+
+def _table(words: DataFrame) -> DataFrame:
+    """Words of two symbols or more, written and read again."""
+    path = work_folder(words.sparkSession)
+    words.where(F.size("parts") > 1).write.parquet(path)
+    out = words.sparkSession.read.schema("parts array<string>, n long").parquet(path)
+    out._lemmaflow_path = path
+    return out
+
+
+def _drop(table: DataFrame) -> None:
+    sc = table.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(table._lemmaflow_path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _hot(top: list, take: int, min_frequency: int) -> tuple[set, int, bool]:
+    """Of the most frequent pairs in order: those of a round, the least count it decides, and whether pairs of the same count are left."""
+    if len(top) <= take:
+        return {p for p, _ in top}, min_frequency, False
+    beyond = top[take][1]
+    if top[0][1] > beyond:
+        return {p for p, n in top if n > beyond}, beyond + 1, False
+    return {p for p, _ in top[:take]}, beyond, True
+
+
+def _segments(table: DataFrame, hot: set) -> DataFrame:
+    """segment (symbols with a space between) and n: runs of symbols in which each two neighbours are a hot pair."""
+
+    def run(batches):
+        found: dict = {}
+        for b in batches:
+            for parts, n in zip(b.column("parts").to_pylist(), b.column("n").to_pylist(), strict=True):
+                start = 0
+                for i in range(1, len(parts) + 1):
+                    if i == len(parts) or (parts[i - 1], parts[i]) not in hot:
+                        if i - start > 1:
+                            key = " ".join(parts[start:i])
+                            found[key] = found.get(key, 0) + n
+                        start = i
+            if len(found) > 200_000:
+                yield _rows(found)
+                found = {}
+        if found:
+            yield _rows(found)
+
+    return table.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+
+
+def _rows(found: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["segment", "n"])
+
+
+def merged(parts: list[str], rank: dict) -> list[str]:
+    """parts after all merges of `rank`, one after the other."""
+    while len(parts) > 1:
+        best = min(((rank[p], p) for p in zip(parts, parts[1:]) if p in rank), default=None)
+        if best is None:
             break
-        out.append((best["left"], best["right"]))
-        table = table.select(merge_pair(F.col("parts"), *out[-1]).alias("parts"), "n")
-        if len(out) % checkpoint_every == 0:
-            table = table.checkpoint()
+        parts = joined(parts, *best[1])
+    return parts
+
+
+def joined(parts: list[str], left: str, right: str) -> list[str]:
+    """Each occurrence of a pair joined, from the left, without overlap."""
+    out, i = [], 0
+    while i < len(parts):
+        both = i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right
+        out.append(left + right if both else parts[i])
+        i += 1 + both
     return out
 
 
+def _rewritten(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    rank = {p: i for i, p in enumerate(merges)}
+
+    def run(batches):
+        for b in batches:
+            parts = [merged(p, rank) for p in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.string())), b.column("n")], names=["parts", "n"])
+
+    return table.mapInArrow(run, "parts array<string>, n long")
+
+
 def merge_words(words, merges: int, min_frequency: int = 2) -> list[tuple[str, str]]:
-    """train() over (word, n) pairs in one process: a heap of pair counts, and the words in which each pair stands."""
+    """train() over (word, n) pairs in one process."""
+    return merge_symbols((([f"{b:02X}" for b in word.encode()], n) for word, n in words), merges, min_frequency)
+
+
+def merge_symbols(words, merges: int, min_frequency: int = 2, border: tuple[str, str] | None = None) -> list[tuple[str, str]]:
+    """Merges over (symbols, n): a heap of pair counts, and the words in which each pair stands.
+
+    border: pairs of min_frequency after this one may stand where the symbols were cut. After a merge of (a, b) such a pair (b, y) may have
+    become (a + b, y), of the same count; the merges end before one that it could come before. A pair (x, a) becomes (x, a + b), which is still after the border.
+    """
     parts, n, counts, where = [], [], {}, {}
-    for word, k in words:
-        p = [f"{b:02X}" for b in word.encode()]
+    for p, k in words:
         if len(p) > 1:
             for pair in zip(p, p[1:]):
                 counts[pair] = counts.get(pair, 0) + k
@@ -100,27 +197,23 @@ def merge_words(words, merges: int, min_frequency: int = 2) -> list[tuple[str, s
     heap = [(-c, pair) for pair, c in counts.items()]
     heapq.heapify(heap)
     out: list[tuple[str, str]] = []
+    unseen = None  # the smallest left symbol that a pair across a cut may have got
     while heap and len(out) < merges:
         c, pair = heapq.heappop(heap)
         if counts.get(pair, 0) != -c:
             continue  # an older count
-        if -c < min_frequency:
+        if -c < min_frequency or (unseen is not None and pair[0] >= unseen) or (border is not None and pair > border):
             break
         out.append(pair)
         left, right = pair
+        if border is not None and right >= min(border[0], unseen or border[0]):
+            unseen = min(left + right, unseen or left + right)
         changed = set()
         for w in where.pop(pair):
-            old, new, i = parts[w], [], 0
+            old, new = parts[w], joined(parts[w], left, right)
             for p in zip(old, old[1:]):
                 counts[p] -= n[w]
                 changed.add(p)
-            while i < len(old):
-                if i + 1 < len(old) and old[i] == left and old[i + 1] == right:
-                    new.append(left + right)
-                    i += 2
-                else:
-                    new.append(old[i])
-                    i += 1
             for p in zip(new, new[1:]):
                 counts[p] = counts.get(p, 0) + n[w]
                 where.setdefault(p, set()).add(w)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import logic, metrics, text, vectors
-from ..operators import augment, batching, curate, evaluate, vocabulary
+from ..operators import augment, batching, curate, evaluate, packing, vocabulary
 from ..schema import CONNECTORS
 from ..shipping import ship
 from ..sources import files
@@ -544,6 +544,31 @@ def shuffled_packing(spark, d):
     return b.select("shard", F.col("bin").cast("long").alias("bin"), F.col("n_docs").cast("long").alias("n_docs"), F.col("n_real_tokens").cast("long").alias("n_real_tokens"))
 
 
+#: Turns in one order with their bin of next-fit packing into bins of 128.
+_ONE_ORDER = """r AS (SELECT {ids}[1:128] AS ids, row_number() OVER (ORDER BY {order}) AS i FROM conversations), l AS (SELECT *, len(ids) AS n FROM r),
+ w AS (SELECT i, n, 0 AS bin, n AS used FROM l WHERE i = 1 UNION ALL SELECT l.i, l.n, CASE WHEN w.used + l.n > 128 THEN w.bin + 1 ELSE w.bin END, CASE WHEN w.used + l.n > 128 THEN l.n ELSE w.used + l.n END FROM w JOIN l ON l.i = w.i + 1),
+ b AS (SELECT bin, min(i) AS lo, count(*) AS n_docs, sum(n)::BIGINT AS n_real_tokens FROM w GROUP BY bin),
+ s AS (SELECT w.bin, string_agg(array_to_string(l.ids, ','), ',' ORDER BY w.i) AS ids, string_agg(array_to_string(list_transform(l.ids, lambda x: w.i - b.lo), ','), ',' ORDER BY w.i) AS docs FROM w JOIN l USING (i) JOIN b ON b.bin = w.bin WHERE l.n > 0 GROUP BY w.bin)
+SELECT b.bin::BIGINT AS bin, n_docs, n_real_tokens, md5(ids || repeat(',0', 128 - n_real_tokens::INT)) AS input_ids, md5(docs || repeat(',-1', 128 - n_real_tokens::INT)) AS doc_ids FROM b JOIN s ON s.bin = b.bin"""
+
+
+def _bins(p):
+    return p.select("bin", "n_docs", F.col("n_real_tokens").cast("long").alias("n_real_tokens"), *[F.md5(F.array_join(c, ",").cast("binary")).alias(c) for c in ("input_ids", "doc_ids")])
+
+
+@query(f"WITH RECURSIVE {_ONE_ORDER.format(ids=_IDS, order='conv_id, turn')}")
+def pack_one_order(spark, d):
+    """All turns packed in one pass's bins, over ranges of few tokens so that many of them are composed."""
+    return _bins(packing.pack_all(_conv_ids(spark, d), ["conv_id", "turn"], "ids", 128, tokens=1024, fan=8))
+
+
+@query(f"WITH RECURSIVE {_ONE_ORDER.format(ids=_IDS, order='md5(' + chr(39) + '42|pack|' + chr(39) + ' || (conv_id * 1000 + turn)), conv_id * 1000 + turn')}")
+def pack_one_shuffle(spark, d):
+    """A loader that shuffles all sequences and packs them in one pass's bins."""
+    t = _conv_ids(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "ids", F.lit("simple").alias("complexity"))
+    return _bins(batching.batches(t, "k", "ids", 8, 128, packing=True, shard_rows=None))
+
+
 @query("SELECT i, j FROM range(0, 64) a(i), range(0, 64) b(j) WHERE j <= i")
 def causal_mask(spark, d):
     return batching.causal_mask(spark, 64)

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,10 +95,9 @@ def test_lengths(spark):
 
 def test_vocabulary(spark, tmp_path):
     df = spark.createDataFrame([("el gato y el gato negro",), ("la gata el año",), (None,)], "t string")
-    merges = vocabulary.train(df, "t", 30, checkpoint_every=7)
+    merges = vocabulary.train(df, "t", 30)
     v = vocabulary.Vocabulary(merges)
-    spark.sparkContext.setCheckpointDir(f"{tmp_path}/checkpoints")
-    assert vocabulary.train(df, "t", 30, checkpoint_every=7, local_words=0) == merges
+    assert vocabulary.train(df, "t", 30, segments=2) == merges
     assert len(merges) >= 5 and len(v) == len(SPECIAL_TOKENS) + 256 + len(merges) and v.broken_specials() == []
     t = "<|bos|> el gato ñandú 12 <|eos|>"
     ids = v.encode(t)
@@ -138,12 +138,51 @@ def slow_merges(texts, merges, min_frequency=2):
     return out
 
 
+def test_rounds_of_equal_counts():
+    """Many pairs of one count, of which a round takes only the first: same merges as all at once, whatever is cut."""
+    rng = random.Random(2)
+    for _ in range(300):
+        words = [([rng.choice("abcd") for _ in range(rng.randrange(2, 7))], rng.choice([1, 1, 2])) for _ in range(rng.randrange(2, 9))]
+        whole = vocabulary.merge_symbols((([*p], n) for p, n in words), 10**6)
+        parts, got = [([*p], n) for p, n in words], []
+        while True:
+            counts: dict = {}
+            for p, n in parts:
+                for x in zip(p, p[1:], strict=False):
+                    counts[x] = counts.get(x, 0) + n
+            take = rng.randrange(1, 5)
+            top = sorted(((p, n) for p, n in counts.items() if n >= 2), key=lambda x: (-x[1], x[0]))[: take + 1]
+            if not top:
+                break
+            hot, least, tied = vocabulary._hot(top, take, 2)
+            pieces = []
+            for p, n in parts:
+                run = [p[0]]
+                for x, y in zip(p, p[1:], strict=False):
+                    if (x, y) not in hot:
+                        pieces.append((run, n))
+                        run = []
+                    run.append(y)
+                pieces.append((run, n))
+            new = vocabulary.merge_symbols(pieces, 10**6, least, max(hot) if tied else None)
+            assert new
+            got += new
+            rank = {p: i for i, p in enumerate(new)}
+            parts = [(vocabulary.merged(p, rank), n) for p, n in parts]
+        assert got == whole
+
+
 def test_training_against_plain_counts(spark):
     texts = ["It's the  cat's hat\n\n that we've   seen, isn't it? 12 345 aaaa aaaaa", "  the cat sat\tthere  ", "ño niño; año", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert vocabulary.train(df, "t", 60) == slow_merges(texts, 60)
     import regex
 
+    rng = random.Random(9)
+    many = [" ".join("".join(rng.choice("abcab") for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(12)]
+    log: list = []
+    assert vocabulary.train(spark.createDataFrame([(t,) for t in many], "t string"), "t", 90, segments=25, log=log) == slow_merges(many, 90)
+    assert len(log) > 3 and all(n <= 25 for _, n, _ in log) and sum(m for *_, m in log) == 90
     words = df.select(F.explode(vocabulary.words(F.col("t"))).alias("w")).collect()
     assert sorted(r.w for r in words) == sorted(w for t in texts for w in regex.findall(vocabulary.SPLIT, t))
 
