@@ -48,7 +48,7 @@ END_ID = 2
 #: What is added to a rotated checksum, as in the record files of public training frameworks.
 MASK = 0xA282EAD8
 #: Entries of each of a worker's two tables of encoded pieces; results don't depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 #: Most tasks that read a folder.
 READERS = 20_000
 _INDEX = struct.Struct("<QQQ")
