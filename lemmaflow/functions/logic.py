@@ -83,44 +83,52 @@ def lex_b(text: str) -> list[str]:
 
 
 def parse_tokens(tokens: list[str]):
-    """Precedence climbing over either lexer's tokens; atoms carry a leading @."""
-    at = 0
-
-    def operand():
-        nonlocal at
-        signs = 0
-        while at < len(tokens) and tokens[at] == "¬":
-            signs, at = signs + 1, at + 1
-        if at == len(tokens):
-            raise FormulaError("the formula ends too early")
-        t = tokens[at]
-        at += 1
-        if t == "(":
-            node = level(1)
-            if at == len(tokens) or tokens[at] != ")":
-                raise FormulaError("a parenthesis is open")
-            at += 1
-        elif t[0] == "@":
-            node = ("atom", t[1:])
+    """Operator precedence over either lexer's tokens, on explicit stacks; atoms carry a leading @. Equal subtrees are one object."""
+    signs: list[str] = []
+    trees: list[tuple] = []
+    same: dict[tuple, tuple] = {}
+
+    def put(node: tuple) -> None:
+        trees.append(same.setdefault((node[0], *(x if node[0] == "atom" else id(x) for x in node[1:])), node))
+
+    def reduce() -> None:
+        op = signs.pop()
+        if op == "¬":
+            put((op, trees.pop()))
         else:
-            raise FormulaError(f"an operand was due, not {t}")
-        for _ in range(signs):
-            node = ("¬", node)
-        return node
-
-    def level(least: int):
-        nonlocal at
-        node = operand()
-        while at < len(tokens) and STRENGTH.get(tokens[at], 0) >= least:
-            op = tokens[at]
-            at += 1
-            node = (op, node, level(STRENGTH[op] + (op not in RIGHT)))
-        return node
-
-    tree = level(1)
-    if at < len(tokens):
-        raise FormulaError(f"unexpected {tokens[at].lstrip('@')}")
-    return tree
+            right = trees.pop()
+            put((op, trees.pop(), right))
+
+    due = True  # an operand is
+    for t in tokens:
+        if due:
+            if t in ("¬", "("):
+                signs.append(t)
+            elif t[0] == "@":
+                put(("atom", t[1:]))
+                due = False
+            else:
+                raise FormulaError(f"an operand was due, not {t}")
+        elif t == ")":
+            while signs and signs[-1] != "(":
+                reduce()
+            if not signs:
+                raise FormulaError("unexpected )")
+            signs.pop()
+        elif t in STRENGTH:
+            while signs and signs[-1] != "(" and (signs[-1] == "¬" or STRENGTH[signs[-1]] >= STRENGTH[t] + (t in RIGHT)):
+                reduce()
+            signs.append(t)
+            due = True
+        else:
+            raise FormulaError(f"unexpected {t.lstrip('@')}" if "(" not in signs else "a parenthesis is open")
+    if due:
+        raise FormulaError("the formula ends too early")
+    while signs:
+        if signs[-1] == "(":
+            raise FormulaError("a parenthesis is open")
+        reduce()
+    return trees[0]
 
 
 def parse_b(text: str):
@@ -129,60 +137,125 @@ def parse_b(text: str):
     return parse_tokens(lex_b(text))
 
 
+def nodes(tree) -> list[tuple]:
+    """All nodes from the leaves up, left before right; a node that occurs twice is in it twice."""
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        out.append(t)
+        if t[0] != "atom":
+            todo.extend(t[1:])
+    return out[::-1]
+
+
 def postfix(tree) -> list[str]:
-    if tree[0] == "atom":
-        return [tree[1]]
-    return [x for part in tree[1:] for x in postfix(part)] + [tree[0]]
+    return [t[1] if t[0] == "atom" else t[0] for t in nodes(tree)]
 
 
 def names(tree) -> set[str]:
-    return {tree[1]} if tree[0] == "atom" else set().union(*map(names, tree[1:]))
+    return {t[1] for t in nodes(tree) if t[0] == "atom"}
 
 
 def connectors(tree) -> list[str]:
     """In reading order: a negation before its operand, a binary sign between its operands."""
-    if tree[0] == "atom":
-        return []
-    if tree[0] == "¬":
-        return ["¬", *connectors(tree[1])]
-    return [*connectors(tree[1]), tree[0], *connectors(tree[2])]
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, str):
+            out.append(t)
+        elif t[0] == "¬":
+            todo += [t[1], "¬"]
+        elif t[0] != "atom":
+            todo += [t[2], t[0], t[1]]
+    return out
+
+
+def _weak(t, side: int, strict: bool) -> bool:
+    """Whether a binary node's side stands in parentheses."""
+    x = t[side]
+    return len(x) == 3 and (STRENGTH[x[0]] < STRENGTH[t[0]] or (strict and side == 1 and x[0] == t[0] == "→"))
 
 
 def show(tree, strict: bool = False) -> str:
     """Print a tree. The plain mode leaves out parentheses between equal connectors even where that changes
     the grouping of implications; strict keeps those of an implication's left side."""
-    if tree[0] == "atom":
-        return tree[1]
-    if tree[0] == "¬":
-        inner = show(tree[1], strict)
-        return f"¬({inner})" if len(tree[1]) == 3 else f"¬{inner}"
-    op, sides = tree[0], []
-    for k, side in enumerate(tree[1:]):
-        s = show(side, strict)
-        weak = len(side) == 3 and (STRENGTH[side[0]] < STRENGTH[op] or (strict and k == 0 and side[0] == op == "→"))
-        sides.append(f"({s})" if weak else s)
-    return f"{sides[0]} {op} {sides[1]}"
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, str):
+            out.append(t)
+        elif t[0] == "atom":
+            out.append(t[1])
+        elif t[0] == "¬":
+            todo += [")", t[1], "¬("] if len(t[1]) == 3 else [t[1], "¬"]
+        else:
+            sides = [[")", t[k], "("] if _weak(t, k, strict) else [t[k]] for k in (2, 1)]
+            todo += [*sides[0], f" {t[0]} ", *sides[1]]
+    return "".join(out)
+
+
+#: Characters of a printed subtree that are kept to compare it with another.
+_HEAD = 48
 
 
 def canonical(tree, strict: bool = False):
     """Without double negations, operands of commutative connectors in order of their printed form."""
-    if tree[0] == "atom":
-        return tree
-    if tree[0] == "¬":
-        inner = canonical(tree[1], strict)
-        return inner[1] if inner[0] == "¬" else ("¬", inner)
-    left, right = canonical(tree[1], strict), canonical(tree[2], strict)
-    if tree[0] in COMMUTES and show(left, strict) > show(right, strict):
-        left, right = right, left
-    return tree[0], left, right
+    done: dict[int, tuple] = {}
+    heads: dict[int, tuple[str, bool]] = {}  # of a canonical node: the beginning of its printed form, and whether that is all
+    alive = []
+
+    def joined(*parts) -> tuple[str, bool]:
+        text = ""
+        for part in parts:
+            piece, whole = (part, True) if isinstance(part, str) else heads[id(part)]
+            text += piece
+            if not whole or len(text) > _HEAD:
+                return text[:_HEAD], False
+        return text, True
+
+    def after(x, y) -> bool:
+        (a, whole_a), (b, whole_b) = heads[id(x)], heads[id(y)]
+        n = min(len(a), len(b))
+        if a[:n] != b[:n] or (whole_a and whole_b) or (whole_a and n == len(a)) or (whole_b and n == len(b)):
+            return a > b
+        return x is not y and show(x, strict) > show(y, strict)
+
+    for t in nodes(tree):
+        if id(t) in done:
+            continue
+        if t[0] == "atom":
+            out = t
+        elif t[0] == "¬":
+            inner = done[id(t[1])]
+            out = inner[1] if inner[0] == "¬" else ("¬", inner)
+        else:
+            left, right = done[id(t[1])], done[id(t[2])]
+            out = (t[0], right, left) if t[0] in COMMUTES and after(left, right) else (t[0], left, right)
+        if id(out) not in heads:
+            if out[0] == "atom":
+                heads[id(out)] = joined(out[1])
+            elif out[0] == "¬":
+                heads[id(out)] = joined("¬(", out[1], ")") if len(out[1]) == 3 else joined("¬", out[1])
+            else:
+                sides = [("(", out[k], ")") if _weak(out, k, strict) else (out[k],) for k in (1, 2)]
+                heads[id(out)] = joined(*sides[0], f" {out[0]} ", *sides[1])
+        done[id(t)] = out
+        alive.append(out)
+    return done[id(tree)]
 
 
 def subformulas(tree, strict: bool = False) -> list[str]:
-    if tree[0] == "atom":
-        return []
-    if tree[0] == "¬":
-        return [show(tree, strict), *subformulas(tree[1], strict)]
-    return [*subformulas(tree[1], strict), *subformulas(tree[2], strict), show(tree, strict)]
+    """Printed forms of all nodes but atoms; together they are as long as the square of a long chain."""
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, str):
+            out.append(t)
+        elif t[0] == "¬":
+            todo += [t[1], show(t, strict)]
+        elif t[0] != "atom":
+            todo += [show(t, strict), t[2], t[1]]
+    return out
 
 
 def truth_bits(tree, atoms: list[str]) -> int:
@@ -195,25 +268,32 @@ def truth_bits(tree, atoms: list[str]) -> int:
         half = 1 << (n - 1 - k)
         lanes[a] = full // ((1 << half) + 1) << half
 
-    def value(t):
+    done = {}
+    for t in nodes(tree):
+        if id(t) in done:
+            continue
         if t[0] == "atom":
-            return lanes[t[1]]
-        if t[0] == "¬":
-            return full ^ value(t[1])
-        a, b = value(t[1]), value(t[2])
-        return {"∧": lambda: a & b, "∨": lambda: a | b, "→": lambda: full ^ a | b, "↔": lambda: full ^ a ^ b}[t[0]]()
+            done[id(t)] = lanes[t[1]]
+        elif t[0] == "¬":
+            done[id(t)] = full ^ done[id(t[1])]
+        else:
+            a, b = done[id(t[1])], done[id(t[2])]
+            done[id(t)] = {"∧": a & b, "∨": a | b, "→": full ^ a | b, "↔": full ^ a ^ b}[t[0]]
+    return done[id(tree)]
+
 
-    return value(tree)
+#: Steps of a decision diagram after which a formula has no signature.
+STEPS = 50_000
 
 
-def signature(tree) -> str:
-    """Equal for two formulas exactly if they are equivalent, whatever number of atoms they have.
+def signature(tree, steps: int = STEPS) -> str | None:
+    """Equal for two formulas exactly if they are equivalent; None if it takes more steps, and for formulas of some hundred atoms.
 
     It is the reduced decision diagram over the atoms in order of name, written from its root; an atom that
-    doesn't matter is not in it. Long ones are given by their SHA-256.
+    doesn't matter is not in it. Long ones are given by their SHA-256. Formulas without one are compared by `equivalent`.
     """
     order = {a: i for i, a in enumerate(sorted(names(tree)))}
-    nodes: list[tuple] = [(len(order), 0, 0), (len(order), 1, 1)]  # false, true
+    diagram: list[tuple] = [(len(order), 0, 0), (len(order), 1, 1)]  # false, true
     known: dict[tuple, int] = {}
     memo: dict[tuple, int] = {}
 
@@ -222,8 +302,8 @@ def signature(tree) -> str:
             return low
         key = (level, low, high)
         if key not in known:
-            known[key] = len(nodes)
-            nodes.append(key)
+            known[key] = len(diagram)
+            diagram.append(key)
         return known[key]
 
     def both(op: str, a: int, b: int) -> int:
@@ -231,58 +311,99 @@ def signature(tree) -> str:
             return int({"∧": a and b, "∨": a or b, "→": not a or b, "↔": a == b}[op])
         key = (op, a, b)
         if key not in memo:
-            level = min(nodes[a][0], nodes[b][0])
-            (a0, a1), (b0, b1) = (nodes[x][1:] if nodes[x][0] == level else (x, x) for x in (a, b))
+            if len(memo) >= steps:
+                raise RecursionError
+            level = min(diagram[a][0], diagram[b][0])
+            (a0, a1), (b0, b1) = (diagram[x][1:] if diagram[x][0] == level else (x, x) for x in (a, b))
             memo[key] = node(level, both(op, a0, b0), both(op, a1, b1))
         return memo[key]
 
-    def build(t) -> int:
-        if t[0] == "atom":
-            return node(order[t[1]], 0, 1)
-        return both("→", build(t[1]), 0) if t[0] == "¬" else both(t[0], build(t[1]), build(t[2]))
-
-    names_of, place, out, todo = list(order), {0: "F", 1: "T"}, [], [build(tree)]
+    built: dict[int, int] = {}
+    try:
+        for t in nodes(tree):
+            if id(t) not in built:
+                if t[0] == "atom":
+                    built[id(t)] = node(order[t[1]], 0, 1)
+                else:
+                    built[id(t)] = both("→", built[id(t[1])], 0) if t[0] == "¬" else both(t[0], built[id(t[1])], built[id(t[2])])
+    except RecursionError:
+        return None
+    names_of, place, out, todo = list(order), {0: "F", 1: "T"}, [], [built[id(tree)]]
     root = todo[0]
     while todo:
         x = todo.pop()
         if x not in place:
             place[x] = str(len(place) - 2)
             out.append(x)
-            todo += [nodes[x][2], nodes[x][1]]
-    text = ";".join(f"{names_of[nodes[x][0]]}?{place[nodes[x][2]]}:{place[nodes[x][1]]}" for x in out) or place[root]
+            todo += [diagram[x][2], diagram[x][1]]
+    text = ";".join(f"{names_of[diagram[x][0]]}?{place[diagram[x][2]]}:{place[diagram[x][1]]}" for x in out) or place[root]
     return text if len(text) < 200 else hashlib.sha256(text.encode()).hexdigest()
 
 
+def equivalent(a, b, conflicts: int = 20_000) -> bool | None:
+    """Whether two formulas are; by signatures where both have one, else by a search for an assignment on which they differ, None if it meets too many conflicts."""
+    from .solver import Clauses
+
+    left, right = signature(a), signature(b)
+    if left is not None and right is not None:
+        return left == right
+    clauses = Clauses()
+    x, y = clauses.formula(nodes(a)), clauses.formula(nodes(b))
+    if abs(x) == abs(y):
+        return x == y
+    clauses.add([x, y])
+    clauses.add([-x, -y])
+    found = clauses.solve(conflicts)
+    return None if found is None else not found
+
+
 _STRINGS = T.ArrayType(T.StringType())
-PARSED = T.StructType([
+_SYNTAX = [
     T.StructField("valid", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("rpn", _STRINGS), T.StructField("atoms", _STRINGS),
-    T.StructField("connectors", _STRINGS), T.StructField("main", T.StringType()), T.StructField("canonical", T.StringType()),
-    T.StructField("signature", T.StringType()), T.StructField("subs", _STRINGS), T.StructField("sub_signatures", _STRINGS),
-])
+    T.StructField("connectors", _STRINGS), T.StructField("main", T.StringType()),
+]
+_MEANING = [T.StructField("canonical", T.StringType()), T.StructField("signature", T.StringType())]
+_PARTS = [T.StructField("subs", _STRINGS), T.StructField("sub_signatures", _STRINGS)]
+#: What the parse of a formula gives: its syntax; with its printed canonical form and signature; with its subformulas too.
+SYNTAX, PARSED, WHOLE = T.StructType(_SYNTAX), T.StructType(_SYNTAX + _MEANING), T.StructType(_SYNTAX + _MEANING + _PARTS)
 CHECKED = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("atoms", _STRINGS)])
 
 
-@lru_cache(maxsize=100_000)
-def analyse(text: str | None, strict: bool = False) -> tuple:
+@lru_cache(maxsize=20_000)
+def _tree(text: str | None):
+    """The parsed tree, or the error's message."""
     try:
         if text is None:
             raise FormulaError("empty formula")
-        tree = parse_b(text)
+        return parse_b(text)
+    except FormulaError as e:
+        return str(e)[:200]
+
+
+@lru_cache(maxsize=100_000)
+def analyse(text: str | None, strict: bool = False, fields: int = len(WHOLE)) -> tuple:
+    """The first fields of WHOLE; no more is computed."""
+    tree = _tree(text)
+    if isinstance(tree, str):
+        return (False, tree, None, None, None, None, text.strip() if text is not None else None, None, None, None)[:fields]
+    out = (True, "", postfix(tree), sorted(names(tree)), connectors(tree), tree[0] if tree[0] != "atom" else None)
+    if fields > len(SYNTAX):
+        out += (show(canonical(tree, strict), strict), signature(tree))
+    if fields > len(PARSED):
         subs = sorted(set(subformulas(tree, strict)))
-        return (True, "", postfix(tree), sorted(names(tree)), connectors(tree), tree[0] if tree[0] != "atom" else None,
-                show(canonical(tree, strict), strict), signature(tree), subs, [signature(parse_b(s)) for s in subs])
-    except (FormulaError, RecursionError) as e:
-        return (False, str(e)[:200], None, None, None, None, text.strip() if text is not None else None, None, None, None)
+        out += (subs, [signature(parse_b(s)) or s for s in subs])
+    return out
 
 
-@F.pandas_udf(PARSED)
-def parsed(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([analyse(t) for t in texts], columns=PARSED.names)
+def _parser(kind: T.StructType, strict: bool = False):
+    @F.pandas_udf(kind)
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([analyse(t, strict, len(kind)) for t in texts], columns=kind.names)
 
+    return parse
 
-@F.pandas_udf(PARSED)
-def parsed_strict(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([analyse(t, True) for t in texts], columns=PARSED.names)
+
+syntax, parsed, parsed_whole = _parser(SYNTAX), _parser(PARSED), _parser(WHOLE)
 
 
 def validity(formula: Column, struct: Column) -> Column:
@@ -296,7 +417,7 @@ def check_a(text: str | None) -> tuple[bool, list[str]]:
     try:
         tree = parse_tokens(lex_a(text or ""))
         return True, sorted(names(tree))
-    except (FormulaError, RecursionError):
+    except FormulaError:
         return False, []
 
 
@@ -305,32 +426,41 @@ def checked(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([check_a(t) for t in texts], columns=CHECKED.names)
 
 
-def distance(a, b, memo: dict | None = None) -> int:
-    """Simplified edit distance of two trees, each pair of subtrees computed once."""
-    memo = {} if memo is None else memo
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
-    if a[0] == b[0] == "atom":
-        out = int(a[1] != b[1])
-    elif a[0] == b[0] == "¬":
-        out = distance(a[1], b[1], memo)
-    elif len(a) == len(b) == 3:
-        out = int(a[0] != b[0]) + distance(a[1], b[1], memo) + distance(a[2], b[2], memo)
-        if a[0] == b[0] and a[0] in COMMUTES:
-            out = min(out, distance(a[1], b[2], memo) + distance(a[2], b[1], memo))
-    else:
-        out = len(postfix(a)) + len(postfix(b))
-    memo[key] = out
-    return out
+def distance(a, b) -> int:
+    """Simplified edit distance of two trees, each pair of different subtrees computed once."""
+    sizes: dict[int, int] = {}
+    for tree in (a, b):
+        for t in nodes(tree):
+            sizes[id(t)] = 1 if t[0] == "atom" else 1 + sum(sizes[id(x)] for x in t[1:])
+    known: dict[tuple[int, int], int] = {}
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        key = (id(x), id(y))
+        if key in known:
+            todo.pop()
+            continue
+        if x[0] == y[0] == "atom":
+            known[key] = int(x[1] != y[1])
+        elif len(x) != len(y) or "atom" in (x[0], y[0]) or (len(x) == 2 and x[0] != y[0]):
+            known[key] = sizes[id(x)] + sizes[id(y)]
+        else:
+            turned = len(x) == 3 and x[0] == y[0] and x[0] in COMMUTES
+            pairs = [(x[1], y[1])] if len(x) == 2 else [(x[1], y[1]), (x[2], y[2])] + ([(x[1], y[2]), (x[2], y[1])] if turned else [])
+            open_ = [p for p in pairs if (id(p[0]), id(p[1])) not in known]
+            if open_:
+                todo += open_
+                continue
+            d = [known[id(p[0]), id(p[1])] for p in pairs]
+            known[key] = d[0] if len(x) == 2 else min([int(x[0] != y[0]) + d[0] + d[1], *([d[2] + d[3]] if turned else [])])
+    return known[id(a), id(b)]
 
 
 def credit(prediction: str | None, reference: str | None) -> float:
-    try:
-        a, b = parse_b(prediction or ""), parse_b(reference or "")
-    except (FormulaError, RecursionError):
+    a, b = _tree(prediction or ""), _tree(reference or "")
+    if isinstance(a, str) or isinstance(b, str):
         return 0.0
-    return max(0.0, 1 - distance(a, b) / max(len(postfix(a)), len(postfix(b))))
+    return max(0.0, 1 - distance(a, b) / max(len(nodes(a)), len(nodes(b))))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -338,6 +468,31 @@ def partial_credit(predictions: pd.Series, references: pd.Series) -> pd.Series:
     return pd.Series([credit(p, r) for p, r in zip(predictions, references)])
 
 
+@F.pandas_udf(T.BooleanType())
+def same_meaning(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether two valid formulas are equivalent; null for invalid ones, and where `equivalent` can't tell."""
+    return pd.Series([meaning(a, b) for a, b in zip(left, right)], dtype=object)
+
+
+@lru_cache(maxsize=20_000)
+def meaning(left: str | None, right: str | None) -> bool | None:
+    a, b = _tree(left), _tree(right)
+    return None if isinstance(a, str) or isinstance(b, str) else equivalent(a, b)
+
+
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: one addition of whole rows as integers for each element of b."""
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & masks.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
@@ -400,7 +555,7 @@ def truth_table(df: DataFrame, formula: str = "formula") -> DataFrame:
     Atoms are sorted; the first is the most significant and false comes before true. A formula of n
     atoms has 2^n rows, by nature.
     """
-    p = df.withColumn("_p", parsed(F.col(formula))).where("_p.valid")
+    p = df.withColumn("_p", syntax(F.col(formula))).where("_p.valid")
     n = F.size("_p.atoms")
     rows = p.withColumn("row_no", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), n).cast("long") - 1)))
     values = F.transform("_p.atoms", lambda a, i: (F.floor(F.col("row_no") / F.pow(F.lit(2.0), n - 1 - i)) % 2) == 1)

@@ -1,81 +1,75 @@
-"""Metrics of a predicted formula against its reference, as expressions over two `parsed` structs."""
+"""Metrics of a predicted formula against its reference, from one comparison of each pair."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import logic
 from .text import squeeze
 
 
-def _both(p: Column, r: Column) -> Column:
-    return p.valid & r.valid
-
-
-def semantic(p: Column, r: Column) -> Column:
-    """True or false for two valid formulas, else null."""
-    return F.when(_both(p, r), p.signature == r.signature)
-
-
-def atom_f1(p: Column, r: Column) -> Column:
-    """struct<precision, recall, f1>; zeros if either is invalid."""
-    hit, zero = F.size(F.array_intersect(p.atoms, r.atoms)), F.lit(0.0)
-    precision = F.when(_both(p, r), hit / F.size(p.atoms)).otherwise(zero)
-    recall = F.when(_both(p, r), hit / F.size(r.atoms)).otherwise(zero)
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(zero)
-    return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
-
-
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
-    zeros = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
-
-    def row(prev, x):
-        def cell(acc, i):
-            best = F.greatest(F.element_at(acc, -1), F.get(prev, i + 1))
-            return F.concat(acc, F.array(F.when(F.get(b, i) == x, F.get(prev, i) + 1).otherwise(best)))
-
-        return F.aggregate(F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), cell)
+PAIR = T.StructType(
+    [T.StructField(n, T.BooleanType()) for n in ("p_valid", "r_valid", "same_meaning", "same_form")]
+    + [T.StructField(n, T.IntegerType()) for n in ("p_atoms", "r_atoms", "common_atoms", "p_connectors", "r_connectors", "common_connectors", "p_subs", "r_subs", "common_subs")]
+    + [T.StructField(n, T.StringType()) for n in ("p_main", "r_main")]
+    + [T.StructField("credit", T.DoubleType())]
+)
 
-    return F.element_at(F.aggregate(a, zeros, row), -1)
 
+@lru_cache(maxsize=100_000)
+def compare(prediction: str | None, reference: str | None, strict: bool = False) -> tuple:
+    """The fields of PAIR: what two formulas are and have in common. Each distinct formula is parsed once."""
+    p, r = logic.analyse(prediction, strict), logic.analyse(reference, strict)
+    both = p[0] and r[0]
+    means = None
+    if both:
+        means = p[7] == r[7] if p[7] is not None and r[7] is not None else logic.meaning(prediction, reference)
+    size = lambda x: len(x or ())
+    atoms = len(set(p[3]) & set(r[3])) if both else 0
+    signs = logic.common_length(p[4], r[4]) if both else 0
+    subs = sum((Counter(p[9]) & Counter(r[9])).values()) if both else 0
+    return (p[0], r[0], means, p[6] is not None and p[6] == r[6], size(p[3]), size(r[3]), atoms, size(p[4]), size(r[4]), signs, size(p[9]), size(r[9]), subs, p[5], r[5], logic.credit(prediction, reference))
 
-def connector_accuracy(p: Column, r: Column) -> Column:
-    empty = F.when(F.size(p.connectors) == 0, 1.0).otherwise(0.0)
-    return F.when(_both(p, r), F.when(F.size(r.connectors) == 0, empty).otherwise(lcs(p.connectors, r.connectors) / F.size(r.connectors))).otherwise(0.0)
 
+def _comparer(strict: bool):
+    @F.pandas_udf(PAIR)
+    def compared(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compare(p, r, strict) for p, r in zip(predictions, references)], columns=PAIR.names).astype(object)
 
-def subformula_score(p: Column, r: Column) -> Column:
-    """Share of the reference's subformulas with an equivalent partner of their own: by class of
-    equivalence the smaller of both counts, summed."""
-    classes = F.array_distinct(r.sub_signatures)
-    count = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
-    hit = F.aggregate(F.transform(classes, lambda s: F.least(count(p.sub_signatures, s), count(r.sub_signatures, s))), F.lit(0), lambda a, x: a + x)
-    none = F.when(F.size(p.sub_signatures) == 0, 1.0).otherwise(0.0)
-    return F.when(_both(p, r), F.when(F.size(r.sub_signatures) == 0, none).otherwise(hit / F.size(r.sub_signatures))).otherwise(0.0)
+    return compared
 
 
-def main_connector_score(p: Column, r: Column) -> Column:
-    return F.when(_both(p, r) & p.main.eqNullSafe(r.main), 1.0).otherwise(0.0)
+compared, compared_strict = _comparer(False), _comparer(True)
 
 
 def evaluate_pairs(df: DataFrame, prediction: str = "prediction", reference: str = "reference", strict: bool = False) -> DataFrame:
-    """df with one column a metric. Parsing is shared by equal formulas of a worker."""
-    parse = logic.parsed_strict if strict else logic.parsed
-    d = df.withColumn("_p", parse(F.col(prediction))).withColumn("_r", parse(F.col(reference)))
-    p, r = F.col("_p"), F.col("_r")
-    f1 = atom_f1(p, r)
-    full = F.when(semantic(p, r), 1.0).otherwise(0.0)
+    """df with one column a metric. A pair goes through Python once; what it gives are numbers, from which the metrics follow."""
+    d = df.withColumn("_m", (compared_strict if strict else compared)(F.col(prediction), F.col(reference))).select(*df.columns, "_m.*")
+    both, c = F.col("p_valid") & F.col("r_valid"), F.col
+    share = lambda hit, of: F.when(both, F.when(c(of) > 0, c(hit) / c(of)).otherwise(0.0)).otherwise(0.0)
+    none = lambda own: F.when(c(own) == 0, 1.0).otherwise(0.0)
+    d = d.withColumns({"atom_precision": share("common_atoms", "p_atoms"), "atom_recall": share("common_atoms", "r_atoms")})
+    total = F.col("atom_precision") + F.col("atom_recall")
+    f1 = F.when(total > 0, 2 * F.col("atom_precision") * F.col("atom_recall") / total).otherwise(0.0)
     out = d.withColumns({
         "exact_match": F.coalesce(squeeze(F.col(prediction)) == squeeze(F.col(reference)), F.lit(False)),
-        "semantic_match": semantic(p, r),
-        "normalized_match": F.coalesce(p.canonical == r.canonical, F.lit(False)),
-        "valid_syntax": p.valid,
-        "atom_precision": f1.precision, "atom_recall": f1.recall, "atom_f1": f1.f1,
-        "connector_accuracy": connector_accuracy(p, r),
-        "partial_credit": logic.partial_credit(F.col(prediction), F.col(reference)),
-        "comp_atoms": f1.f1, "comp_subformulas": subformula_score(p, r), "comp_connector": main_connector_score(p, r), "comp_full": full,
-        "ref_main": r.main, "ref_connectors": F.coalesce(F.size(r.connectors), F.lit(0)), "ref_atoms": F.coalesce(F.size(r.atoms), F.lit(0)), "pred_main": p.main,
+        "semantic_match": c("same_meaning"),
+        "normalized_match": c("same_form"),
+        "valid_syntax": c("p_valid"),
+        "atom_f1": f1,
+        "connector_accuracy": F.when(both, F.when(c("r_connectors") == 0, none("p_connectors")).otherwise(c("common_connectors") / c("r_connectors"))).otherwise(0.0),
+        "partial_credit": c("credit"),
+        "comp_atoms": f1,
+        "comp_subformulas": F.when(both, F.when(c("r_subs") == 0, none("p_subs")).otherwise(c("common_subs") / c("r_subs"))).otherwise(0.0),
+        "comp_connector": F.when(both & c("p_main").eqNullSafe(c("r_main")), 1.0).otherwise(0.0),
+        "comp_full": F.when(c("same_meaning"), 1.0).otherwise(0.0),
+        "ref_main": c("r_main"), "ref_connectors": c("r_connectors"), "ref_atoms": c("r_atoms"), "pred_main": c("p_main"),
     })
-    return out.withColumn("compositional", (F.col("comp_atoms") + F.col("comp_subformulas") + F.col("comp_connector") + F.col("comp_full")) / 4).drop("_p", "_r")
+    out = out.withColumn("compositional", (F.col("comp_atoms") + F.col("comp_subformulas") + F.col("comp_connector") + F.col("comp_full")) / 4)
+    return out.drop(*[n for n in PAIR.names if n not in df.columns])

@@ -63,9 +63,13 @@ def formulas(docs: DataFrame) -> DataFrame:
     p = g | {k: F.coalesce(v, g[k]) for k, v in swap.items()} | {"neg": order}
     p["a"] = F.when(kind == 2, (p["a"] + 1) % 7).otherwise(p["a"])
     p["o1"] = F.when(kind == 3, (p["o1"] + 1) % 4).otherwise(p["o1"])
-    zero = F.lit(0)
-    prediction = F.concat(_text(p, zero), F.when(kind == 4, " ∧").otherwise(""))
-    return docs.withColumns({"formula": _text(g, doc % 3), "plain": _text(g, zero), "prediction": prediction})
+    # What an array holds is computed once, where Generate makes rows of it: first the digits, then each of the texts, so no expression is repeated in another.
+    digits = F.struct(*[x[k].cast("int").alias(f"{side}_{k}") for side, x in (("_g", g), ("_p", p)) for k in g])
+    d = docs.select("*", F.inline(F.array(digits)))
+    left, right = ({k: F.col(f"{side}_{k}") for k in g} for side in ("_g", "_p"))
+    for name, text in (("formula", _text(left, (F.col("doc_id") % 3).cast("int"))), ("plain", _text(left, F.lit(0))), ("prediction", F.concat(_text(right, F.lit(0)), F.when(F.col("doc_id") % 5 == 4, " ∧").otherwise("")))):
+        d = d.select("*", F.explode(F.array(text)).alias(name))
+    return d.select(*docs.columns, "formula", "plain", "prediction")
 
 
 # SQL.

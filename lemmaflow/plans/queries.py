@@ -87,6 +87,27 @@ def syntax_check(spark, d):
     return _formulas(spark, d).withColumn("c", logic.checked(F.col("formula"))).select("doc_id", "c.valid", F.array_join("c.atoms", ",").alias("atoms"))
 
 
+@query("SELECT doc_id, CASE coalesce(length(text), 0) % 4 WHEN 2 THEN 'OK' WHEN 3 THEN 'an operand was due, not →' ELSE 'Formula vacia' END AS message FROM documents")
+def formula_messages(spark, d):
+    """Messages of null, blank, valid and broken formulas."""
+    kind = F.coalesce(F.char_length("text"), F.lit(0)) % 4
+    f = F.when(kind == 1, " \t\u2003").when(kind == 2, "p → q").when(kind == 3, "p → → q")
+    t = _table(spark, d, "documents").select("doc_id", f.alias("f"))
+    return t.select("doc_id", logic.validity(F.col("f"), logic.syntax(F.col("f"))).message.alias("message"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents), b AS (SELECT doc_id, n % 3 <> n % 2 AND doc_id % 2 = 1 AS bad FROM d)
+SELECT doc_id, CASE WHEN bad THEN 'unbalanced_parens' END AS first_check, CASE WHEN bad THEN 'invalid_syntax' END AS later_check FROM b""")
+def both_unbalanced(spark, d):
+    """Formulas of which neither notation has balanced parentheses, by the strict order of checks and by the established one."""
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    f = F.concat(F.lit("p ∧ "), F.repeat(F.lit("("), n % 3), F.lit("q"), F.repeat(F.lit(")"), n % 2))
+    a = F.concat(F.lit("p"), F.repeat(F.lit(")"), (F.col("doc_id") % 2).cast("int")))
+    t = _table(spark, d, "documents").select("doc_id", f.alias("formula"), a.alias("formula_ascii"), F.array(F.lit("p"), F.lit("q")).alias("declared_atoms"))
+    strict = curate.tag_reasons(t, strict=True).withColumnRenamed("reason", "first_check").drop("atoms")
+    return curate.tag_reasons(strict).select("doc_id", "first_check", F.col("reason").alias("later_check"))
+
+
 _LIST = lambda x: f"array_to_string({x}, ' ; ')"
 
 
@@ -96,7 +117,7 @@ def parse_formulas(spark, d):
     """Grammar B over references and predictions: validity, atoms, connectors, main connector, canonical form, subformulas and node count."""
     f = _formulas(spark, d)
     sides = f.select("doc_id", F.lit("r").alias("side"), "formula").union(f.select("doc_id", F.lit("p"), "prediction"))
-    p = sides.withColumn("p", logic.parsed(F.col("formula")))
+    p = sides.withColumn("p", logic.parsed_whole(F.col("formula")))
     joined = lambda c: F.array_join(c, " ; ")
     checked = logic.validity(F.col("formula"), F.col("p"))
     return p.select("doc_id", "side", checked.valid.alias("valid"), F.when(checked.message == "OK", "OK").otherwise("error").alias("message"), joined("p.atoms").alias("atoms"), joined("p.connectors").alias("connectors"), "p.main", "p.canonical", joined("p.subs").alias("subformulas"), F.coalesce(logic.node_count(F.col("p.rpn")), F.lit(0)).cast("long").alias("nodes"))
@@ -124,8 +145,34 @@ def equivalence_many_atoms(spark, d):
     chain = F.transform(F.sequence(F.lit(1).cast("long"), k), lambda i: F.concat(F.lit("x"), i.cast("string")))
     other = F.when(kind == 0, F.concat(F.lit("("), F.array_join(chain, "§"), F.lit(") ∧ (y ∨ ¬y)"))).when(kind == 1, F.array_join(F.reverse(chain), "§")).otherwise(F.array_join(F.slice(chain, F.lit(1), (k - 1).cast("int")), "§"))
     t = _table(spark, d, "documents").select("doc_id", k.alias("atoms"), F.replace(F.array_join(chain, "§"), F.lit("§"), sign).alias("a"), F.replace(other, F.lit("§"), sign).alias("b"))
-    p = t.withColumns({"p": logic.parsed(F.col("a")), "r": logic.parsed(F.col("b"))})
-    return p.select("doc_id", F.size("p.atoms").cast("long").alias("atoms"), metrics.semantic(F.col("p"), F.col("r")).alias("equivalent"))
+    return t.select("doc_id", F.size(logic.syntax(F.col("a")).atoms).cast("long").alias("atoms"), logic.same_meaning(F.col("a"), F.col("b")).alias("equivalent"))
+
+
+@query("SELECT doc_id, 20 + 2 * (doc_id % 21) AS atoms, doc_id % 2 = 0 AS equivalent FROM documents")
+def equivalence_of_pairs(spark, d):
+    """10 to 30 conjunctions of two atoms, all first atoms before all second ones in order of name, against the negation of the implications that deny them; every other one lacks a negation."""
+    n = 10 + F.col("doc_id") % 21
+    places = F.sequence(F.lit(1).cast("long"), n)
+    name = lambda side, i: F.concat(F.lit(side), i.cast("string"))
+    one = F.array_join(F.transform(places, lambda i: F.concat(F.lit("("), name("x", i), F.lit(" ∧ "), name("y", i), F.lit(")"))), " ∨ ")
+    wrong = lambda i: (F.col("doc_id") % 2 == 1) & (i == n)
+    other = F.array_join(F.transform(F.reverse(places), lambda i: F.concat(F.lit("("), name("y", i), F.when(wrong(i), " → ").otherwise(" → ¬"), name("x", i), F.lit(")"))), " ∧ ")
+    t = _table(spark, d, "documents").select("doc_id", one.alias("a"), F.concat(F.lit("¬("), other, F.lit(")")).alias("b"))
+    return t.select("doc_id", F.size(logic.syntax(F.col("a")).atoms).cast("long").alias("atoms"), logic.same_meaning(F.col("a"), F.col("b")).alias("equivalent"))
+
+
+@query("""WITH d AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents), l AS (SELECT doc_id, 2 + coalesce(n, 0) AS n, 1 + doc_id % 7 AS k FROM d)
+SELECT doc_id, n AS operands, k AS deep, 2 * n - 1 + k AS nodes, least(n, 3) AS atoms, true AS same FROM l""")
+def long_formulas(spark, d):
+    """As many operands as a document has words, in one chain, behind negations and parentheses; and against itself with some of each more."""
+    n, k = 2 + F.coalesce(F.size(F.split("text", " ")), F.lit(0)), (1 + F.col("doc_id") % 7).cast("int")
+    atom = lambda i: F.get(F.array(*map(F.lit, "pqr")), (i % 3).cast("int"))
+    sign = F.get(F.array(*map(F.lit, (" ∧ ", " ∨ ", " → "))), (F.col("doc_id") % 3).cast("int"))
+    chain = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), atom), "§")
+    t = _table(spark, d, "documents").select("doc_id", n.cast("long").alias("operands"), k.cast("long").alias("deep"), F.replace(chain, F.lit("§"), sign).alias("f"))
+    t = t.withColumns({"a": F.concat(F.repeat(F.lit("¬"), k), F.lit("(("), "f", F.lit("))")), "b": F.concat(F.repeat(F.lit("¬"), k + 2), F.repeat(F.lit("("), k * 300), "f", F.repeat(F.lit(")"), k * 300))})
+    s = t.select("doc_id", "operands", "deep", logic.syntax(F.col("a")).alias("p"), logic.same_meaning(F.col("a"), F.col("b")).alias("same"))
+    return s.select("doc_id", "operands", "deep", F.size("p.rpn").cast("long").alias("nodes"), F.size("p.atoms").cast("long").alias("atoms"), "same")
 
 
 @query("SELECT doc_id, CASE WHEN source IN ('simple', 'intermediate', 'advanced') THEN source ELSE lang END AS complexity FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND length(text) >= 20")
@@ -271,11 +318,11 @@ def truth_table_rows(spark, d):
 @query(f"WITH {made.PAIRS} SELECT doc_id, same AS equivalent, same AS by_table FROM pairs")
 def semantic_equivalence(spark, d):
     """By signature, and by truth tables over the union of both formulas' atoms in built-in expressions."""
-    f = _formulas(spark, d).withColumns({"r": logic.parsed(F.col("formula")), "p": logic.parsed(F.col("prediction"))})
+    f = _formulas(spark, d).withColumns({"r": logic.syntax(F.col("formula")), "p": logic.syntax(F.col("prediction"))})
     none = F.array().cast("array<string>")
     f = f.withColumn("atoms", F.array_sort(F.array_union(F.coalesce("r.atoms", none), F.coalesce("p.atoms", none))))
     table = F.when(F.col("r.valid") & F.col("p.valid"), logic.truth_words(F.col("r.rpn"), F.col("atoms")) == logic.truth_words(F.col("p.rpn"), F.col("atoms")))
-    return f.select("doc_id", metrics.semantic(F.col("p"), F.col("r")).alias("equivalent"), table.alias("by_table"))
+    return f.select("doc_id", logic.same_meaning(F.col("prediction"), F.col("formula")).alias("equivalent"), table.alias("by_table"))
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -385,7 +432,7 @@ def diagnosis(spark, d):
 
 @query(f"WITH {_REF} SELECT CASE WHEN NOT valid OR len(conn) <= 2 THEN '1-2 conectores' WHEN len(conn) <= 4 THEN '3-4 conectores' ELSE '5+ conectores' END AS bucket, count(*) AS n FROM f GROUP BY 1")
 def length_bucket(spark, d):
-    p = _formulas(spark, d).withColumn("p", logic.parsed(F.col("formula")))
+    p = _formulas(spark, d).withColumn("p", logic.syntax(F.col("formula")))
     return p.groupBy(text.length_bucket(F.coalesce(F.size("p.connectors"), F.lit(0))).alias("bucket")).agg(F.count("*").alias("n"))
 
 

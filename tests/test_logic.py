@@ -207,3 +207,57 @@ def test_composition(spark):
     out = augment.compose(spark.createDataFrame(rows, "i int, nl string, formula string, complexity string"), "i").collect()
     assert len(out) == 2 and all(r.complexity == "advanced" and r.formula.startswith("(") and ". " in r.nl for r in out)
     assert augment.compose(spark.createDataFrame(rows, "i int, nl string, formula string, complexity string").where("false"), "i").count() == 0
+
+
+def test_long_formulas():
+    """No number of operands, parentheses or negations is too many; folds over them don't recurse."""
+    n = 100_000
+    chain = " ∧ ".join("pqr"[i % 3] for i in range(n))
+    a = logic.analyse(chain, False, len(logic.PARSED))
+    assert a[0] and len(a[2]) == 2 * n - 1 and a[3] == ["p", "q", "r"] and len(a[4]) == n - 1 and len(a[6]) == 4 * n - 3 and a[7] == logic.analyse("r ∧ (q ∧ p)")[7]
+    assert logic.credit(chain, chain) == 1.0 and logic.check_a(chain) == (True, ["p", "q", "r"])
+    assert logic.analyse("(" * n + "p" + ")" * n, False, 6)[0] and not logic.analyse("(" * n + "p" + ")" * (n - 1), False, 6)[0]
+    right = logic.analyse("→".join(["p"] * 30_000), False, len(logic.PARSED))
+    assert right[2][-3:] == ["→"] * 3 and right[7] == "T"
+    assert logic.analyse("¬" * 50_001 + "p", False, len(logic.PARSED))[6] == "¬p"
+
+
+def test_equivalence_of_many_atoms():
+    """Diagrams in order of name blow up on these; the search does not."""
+    n = 30
+    pairs = " ∨ ".join(f"(x{i} ∧ y{i})" for i in range(n))
+    denied = "¬(" + " ∧ ".join(f"(y{i} → ¬x{i})" for i in reversed(range(n))) + ")"
+    assert logic.signature(logic.parse_b(pairs)) is None
+    assert logic.meaning(pairs, denied) is True and logic.meaning(pairs, denied.replace("y7 ", "y8 ")) is False
+    many = " ∨ ".join(f"z{i}" for i in range(1500))
+    assert logic.meaning(many, " ∨ ".join(f"z{i}" for i in reversed(range(1500)))) is True
+    assert logic.meaning("p ∧", "p") is None and logic.meaning(None, "p") is None
+
+
+def test_solver_against_tables():
+    from lemmaflow.functions.solver import Clauses
+
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = random_tree(rng, 5), random_tree(rng, 5)
+        if rng.random() < 0.5:
+            b = logic.canonical(logic.parse_b(logic.show(a, True)))
+        c = Clauses()
+        x, y = c.formula(logic.nodes(a)), c.formula(logic.nodes(b))
+        c.add([x, y])
+        c.add([-x, -y])
+        atoms = sorted(logic.names(a) | logic.names(b))
+        assert c.solve(10**6) == (logic.truth_bits(a, atoms) != logic.truth_bits(b, atoms))
+
+
+def test_common_length():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("∧∨→") for _ in range(rng.randrange(90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        assert logic.common_length(a, b) == row[-1]
