@@ -701,9 +701,9 @@ def json_round_trip(spark, d):
     """Examples written as one JSON document and read again."""
     t = _table(spark, d, "documents")
     path = files.work_folder(spark)
-    rows = t.orderBy("doc_id").select(F.col("text").alias("natural_language_input"), F.col("lang").alias("complexity"), F.col("source").alias("block"), F.struct(F.lit("p").alias("formula"), F.col("doc_id").cast("string").alias("formula_ascii")).alias("output"))
-    files.write_document(rows, t.agg(F.count("*").alias("total_output")), path, stats_key="cleaning_stats")
-    e = files.read_examples(spark, path)
+    rows = t.select(F.col("text").alias("natural_language_input"), F.col("lang").alias("complexity"), F.col("source").alias("block"), F.struct(F.lit("p").alias("formula"), F.col("doc_id").cast("string").alias("formula_ascii")).alias("output"), "doc_id")
+    files.write_document(rows, t.agg(F.count("*").alias("total_output")), path, "doc_id", stats_key="cleaning_stats")
+    e = files.read_examples(spark, path, joined=True)
     return e.select(F.col("output.formula_ascii").cast("long").alias("pos"), F.col("natural_language_input").alias("nl"), "complexity", "block")
 
 

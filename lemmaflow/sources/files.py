@@ -7,38 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EXAMPLE_DDL, PROCESSED_DDL
+from ..schema import PROCESSED_DDL
 
 
-def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """One row per example of `{"examples": [...]}` or of a bare array, with its place `pos`; each file is read once.
+def read_examples(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
+    """One row per example of `{"examples": [...]}` or of a bare array, with its place `pos`; a document is read by as many tasks as it has splits.
 
-    Over several files pos counts on: the number of the file in order of name times 2^40, plus the place in the file.
+    Over several files pos counts on: the number of the file in order of name times 2^40, plus the place in the file. With joined they are
+    the parts of one document, as write_document makes them.
     """
-    kind = f"ARRAY<STRUCT<{_as_struct(EXAMPLE_DDL)}>>"
-    raw = spark.read.text(path, wholetext=True)
-    files = sorted(raw.inputFiles())
-    named = raw.select(F.input_file_name().alias("_f"), "value")
-    if len(files) > 1:
-        order = spark.createDataFrame(list(enumerate(files)), "_n long, _f string")
-        named = named.join(F.broadcast(order), "_f", "left")  # one row a file, which the driver lists anyway
-    else:
-        named = named.withColumn("_n", F.lit(0).cast("long"))
-    found = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", kind)).otherwise(F.from_json("value", f"examples {kind}").examples)
-    rows = named.select("_n", F.posexplode(found).alias("pos", "e"))
-    return rows.select((F.coalesce("_n", F.lit(len(files))) * (1 << 40) + F.col("pos")).alias("pos"), "e.*")
-
-
-def _as_struct(ddl: str) -> str:
-    """`a INT, b INT` at the top level as `a: INT, b: INT`."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(ddl + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            name, kind = ddl[start:i].strip().split(" ", 1)
-            out.append(f"{name}: {kind}")
-            start = i + 1
-    return ", ".join(out)
+    from .documents import read_document
+
+    return read_document(spark, path, joined=joined)
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +67,11 @@ def write_examples(df: DataFrame, stats: DataFrame | None, path: str, key: str =
         stats.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/stats")
 
 
-def write_document(df: DataFrame, stats: DataFrame, path: str, key: str = "examples", stats_key: str = "stats") -> None:
-    """One JSON document `{key: [...], stats_key: {...}}` as a text file, for tables that fit one document (the reader takes both layouts)."""
-    one = df.agg(F.collect_list(F.struct(*df.columns)).alias(key)).crossJoin(F.broadcast(stats.limit(1).select(F.struct(*stats.columns).alias(stats_key))))
-    one.select(F.to_json(F.struct(key, stats_key), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_document(df: DataFrame, stats: DataFrame, path: str, order: str, key: str = "examples", stats_key: str = "stats") -> None:
+    """One JSON document `{key: [...], stats_key: {...}}` in parts that follow one another in order of name."""
+    from . import documents
+
+    documents.write_document(df, stats, path, order, key, stats_key)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
