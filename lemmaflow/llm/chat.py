@@ -4,7 +4,8 @@ A logged conversation is often the beginning of a longer one. Each turn's hash d
 role and text, and the running sums of two such hashes are the rolling hashes of the conversation's
 prefixes. A conversation whose whole hash is a strict prefix's hash of another one is dropped by an
 anti-join, and of equal conversations the one with the smallest conv_id stays. The maximal ones are
-rendered.
+rendered. Prefixes of one length are told apart by both sums, 128 bits of two hashes of independent beginnings: of 10**12 prefixes two are taken for one with a
+probability below 10**-14.
 
 Turns are in order of turn; ties are broken by role and text, so a repeated row is a turn of its own.
 A null role or text is the empty text; null turns come first; rows with a null conv_id are one
@@ -25,7 +26,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     placed = rows.withColumn("i", F.row_number().over(order))
-    own = [F.xxhash64("i", "role", "text", F.lit(k)).cast("decimal(20,0)").alias(f"t{k}") for k in (1, 2)]
+    own = [F.xxhash64(F.lit(k), "i", "role", "text").cast("decimal(20,0)").alias(f"t{k}") for k in (1, 2)]  # k is hashed first, so that the two don't collide together
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hashed = placed.select("*", *own)
     return hashed.select("conv_id", "turn", "i", "role", "text", F.sum("t1").over(running).alias("h1"), F.sum("t2").over(running).alias("h2"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))

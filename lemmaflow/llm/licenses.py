@@ -283,19 +283,37 @@ def detect(normal: str, gated: bool = True) -> list[tuple[int, int, int, str]]:
         if not gated or not any(here.isdisjoint(one) for one in sets):
             found += [(rank, m.start(), m.end(), label) for m in pattern.finditer(normal)]
     found.sort(key=lambda d: (d[0], d[1] - d[2], d[1], -len(d[3]), d[3]))  # of equal intervals the more specific license
-    kept: list = []
-    for d in found:
-        # Inside the interval of a better one: suppressed.
-        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
-            kept.append(d)
-    return sorted(kept, key=lambda d: (d[1], d[2], d[3]))
+    return sorted(outermost(found), key=lambda d: (d[1], d[2], d[3]))
+
 
+def outermost(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Of detections, best first, those that don't lie inside the interval of a better one that stays.
 
-def _word_numbers(padded: bytes, at: list[int]) -> list[int]:
+    A detection lies inside one that stays if, of those that begin at its start or before, one ends at its end or behind it: a tree of
+    running maxima over the starts tells that in a logarithm of their number.
+    """
+    starts = {x: i for i, x in enumerate(sorted({d[1] for d in found}), 1)}
+    reach, kept = [-1] * (len(starts) + 1), []
+    for d in found:
+        i, best = starts[d[1]], -1
+        while i and best < d[2]:
+            best = max(best, reach[i])
+            i -= i & -i
+        if best >= d[2]:
+            continue
+        kept.append(d)
+        i = starts[d[1]]
+        while i < len(reach):
+            reach[i] = max(reach[i], d[2])
+            i += i & -i
+    return kept
+
+
+def _word_numbers(padded: bytes | str, at: list[int], space: bytes | str = b" ") -> list[int]:
     """Words before each of the rising places."""
     out, start, n = [], 0, 0
     for x in at:
-        n += padded.count(b" ", start, x)
+        n += padded.count(space, start, x)
         start = x
         out.append(n)
     return out
@@ -325,7 +343,9 @@ def scan_text(text: str | None) -> tuple:
         miss *= 1 - strength[d[0]]
     for _ in base:
         miss *= 0.3
-    spans = [{"label": d[3], "priority": d[0], "first_word": shown.count(" ", 0, d[1]), "last_word": shown.count(" ", 0, d[2])} for d in found]
+    bounds = sorted({x for d in found for x in d[1:3]})
+    number = dict(zip(bounds, _word_numbers(shown, bounds, " ")))  # noqa: B905
+    spans = [{"label": d[3], "priority": d[0], "first_word": number[d[1]], "last_word": number[d[2]]} for d in found]
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1 - miss, spans
 
 
