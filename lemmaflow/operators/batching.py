@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,46 @@ def length_buckets(df: DataFrame, length: str, key: str, batch: int, span: int =
     return out
 
 
+def _keys(seed: int, epoch: int) -> list[int]:
+    return [(seed * 1_000_003 + epoch * 7919 + k * 104_729 + 12_345) % 2_147_483_647 for k in range(8)]
+
+
+def permuted(numbers, n: int, seed: int, epoch: int) -> np.ndarray:
+    """A bijection of 0 .. n - 1, without a table of them: eight rounds of a Feistel network over a rectangle of n places or a few more.
+
+    A number that comes out beyond n - 1 goes through again until it does not, which ends because the rounds can be undone.
+    """
+    width = math.isqrt(max(n - 1, 0)) + 1
+    height = -(-n // width)
+    mix = lambda v, key: (((v + key) * 2_654_435_761) % 4_294_967_296) >> 9
+
+    def rounds(x):
+        a, b = x // width, x % width
+        for k, key in enumerate(_keys(seed, epoch)):
+            if k % 2 == 0:
+                a = (a + mix(b, key)) % height
+            else:
+                b = (b + mix(a, key)) % width
+        return a * width + b
+
+    out = rounds(np.asarray(numbers, np.int64))
+    while (out >= n).any():
+        out = np.where(out >= n, rounds(out), out)
+    return out
+
+
+def epoch_order(df: DataFrame, seed: int, epoch: int, span: int = 10, step: str = "step") -> DataFrame:
+    """Rows of length_buckets with `step`, the place of their batch in the order of an epoch; nothing is shuffled for it."""
+    last = df.agg(F.max(F.struct("bucket", "batch"))).first()[0]
+    n = 0 if last is None else last["bucket"] * span + last["batch"] + 1
+
+    @F.pandas_udf("long")
+    def place(number: pd.Series) -> pd.Series:
+        return pd.Series(permuted(number.to_numpy(), n, seed, epoch))
+
+    return df.withColumn(step, place((F.col("bucket") * span + F.col("batch")).cast("long")))
+
+
 def next_fit(lengths: Column, most: int) -> Column:
     """Bin of each length in order: a bin closes when the next length does not fit."""
     start = F.struct(F.array().cast("array<int>").alias("bins"), F.lit(0).alias("bin"), F.lit(0).alias("used"))

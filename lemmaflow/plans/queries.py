@@ -530,6 +530,30 @@ def length_bucketing(spark, d):
     return b.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("batch").cast("long").alias("batch"))
 
 
+def _rounds(source: str) -> str:
+    """The rounds of batching.permuted (seed 7) in SQL: rows of source (number, epoch, n, h, w, x, turn) with another x."""
+    mix = lambda v, k: f"((({v} + (7 * 1000003 + epoch * 7919 + {k} * 104729 + 12345) % 2147483647) * 2654435761) % 4294967296 >> 9)"
+    out = f"SELECT *, x // w AS a0, x % w AS b0 FROM {source}"
+    for k in range(8):
+        new = f"(a{k} + {mix(f'b{k}', k)}) % h AS a{k + 1}, b{k} AS b{k + 1}" if k % 2 == 0 else f"a{k} AS a{k + 1}, (b{k} + {mix(f'a{k}', k)}) % w AS b{k + 1}"
+        out = f"SELECT *, {new} FROM ({out})"
+    return f"SELECT number, epoch, n, h, w, a8 * w + b8 AS x, turn + 1 AS turn FROM ({out})"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, (row_number() OVER (ORDER BY n_chars, md5('42|length|' || doc_id), doc_id) - 1) // 160 AS bucket FROM documents),
+ b AS (SELECT doc_id, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY md5('42|bucket|' || doc_id), doc_id) - 1) // 16 AS batch FROM r),
+ f AS (SELECT *, bucket * 10 + batch AS number FROM b QUALIFY count(*) OVER (PARTITION BY bucket, batch) = 16),
+ s AS (SELECT max(number) + 1 AS n, ceil(sqrt(max(number) + 1))::BIGINT AS w FROM f),
+ walk AS (SELECT number, epoch, n, (n + w - 1) // w AS h, w, number AS x, 0 AS turn FROM (SELECT DISTINCT number FROM f), (VALUES (0), (1)) e(epoch), s
+   UNION ALL {_rounds("walk WHERE turn = 0 OR x >= n")})
+SELECT doc_id, epoch::BIGINT AS epoch, x::BIGINT AS step FROM f JOIN (SELECT number, epoch, x FROM walk WHERE turn > 0 AND x < n) USING (number)""")
+def shuffled_batches(spark, d):
+    """Full batches of rows of like length, in the order of two epochs."""
+    b = batching.length_buckets(_table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16, drop_last=True)
+    epochs = [batching.epoch_order(b, 7, e).select("doc_id", F.lit(e).cast("long").alias("epoch"), "step") for e in (0, 1)]
+    return epochs[0].unionByName(epochs[1])
+
+
 _IDS = "list_transform(string_split(text, ' '), lambda x: length(x))"
 
 
@@ -656,6 +680,26 @@ def bpe_train(spark, d):
     return spark.createDataFrame([(i, a, b, v.id_of(a + b)) for i, (a, b) in enumerate(v.merges)], "rank long, left string, right string, id long")
 
 
+#: Merges that SQL makes too, one after the other.
+FIRST_MERGES = 16
+
+
+def _first_merges_sql() -> str:
+    """Words as text `<74><68>`; each step counts all pairs anew and replaces the best one."""
+    steps = [f"WITH {_WORDS_SQL.format(table='documents')}", "w0 AS (SELECT regexp_replace(h, '(..)', '<\\1>', 'g') AS s, n FROM n)"]
+    for k in range(FIRST_MERGES):
+        steps.append(f"""l{k} AS (SELECT string_split(s[2:-2], '><') AS l, n FROM w{k}), p{k} AS MATERIALIZED (SELECT l[i] AS "left", l[i + 1] AS "right", sum(n)::BIGINT AS n FROM (SELECT l, n, unnest(range(1, len(l))) AS i FROM l{k}) GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1)""")
+        steps.append(f"""w{k + 1} AS MATERIALIZED (SELECT replace(s, '<' || "left" || '><' || "right" || '>', '<' || "left" || "right" || '>') AS s, w{k}.n FROM w{k}, p{k})""")
+    return ",\n ".join(steps) + "\n" + " UNION ALL ".join(f'SELECT {k}::BIGINT AS rank, "left", "right" FROM p{k}' for k in range(FIRST_MERGES))
+
+
+@query(_first_merges_sql())
+def bpe_first_merges(spark, d):
+    """The first merges over all documents."""
+    merges = vocabulary.train(_table(spark, d, "documents").select("text"), "text", FIRST_MERGES)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank long, left string, right string")
+
+
 @query("SELECT conv_id, turn, md5(nfc_normalize(text)) AS decoded FROM conversations")
 def bpe_round_trip(spark, d):
     """Texts encoded and decoded with a vocabulary trained on them, written and read in between."""
@@ -741,6 +785,24 @@ def generate_replies(spark, d):
     return files.generate(requests, _echo).select("doc_id", "reply")
 
 
+@query("""SELECT doc_id, CASE WHEN k < 3 THEN coalesce(lang, '') || ':' || k END AS reply, least(k + 1, 3)::INT AS tries, [0.0, 1.0, 3.0][least(k, 2) + 1]::DOUBLE AS waited, CASE WHEN k >= 3 THEN 'unavailable 2' END AS failure
+FROM (SELECT doc_id, lang, (coalesce(length(text), 0) % 5)::INT AS k FROM documents)""")
+def generate_with_failures(spark, d):
+    """A generator whose first calls fail, as many as the text's length modulo 5; the clock is not waited for."""
+    requests = _table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), (F.coalesce(F.char_length("text"), F.lit(0)) % 5).alias("k"))
+    return files.generate(requests, _unsteady, tries=3, wait=_no_wait).drop("lang", "k")
+
+
+def _unsteady(request: dict, attempt: int) -> str:
+    if attempt < request["k"]:
+        raise OSError(f"unavailable {attempt}")
+    return f"{request['lang']}:{request['k']}"
+
+
+def _no_wait(seconds: float) -> None:
+    """The clock of a test."""
+
+
 def _echo(request: dict) -> str:
     return f"{request['lang'].upper()}-{request['source']}"
 

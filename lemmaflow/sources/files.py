@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
+import time
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,13 +112,46 @@ def read_config(spark: SparkSession, path: str, kind):
     return kind(**json.loads(spark.read.text(path).first()["value"]))
 
 
-def generate(requests: DataFrame, call: Callable[[dict], str | None], reply: str = "reply") -> DataFrame:
-    """requests with what `call` returns for each row; partitions run side by side, each from row to row."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + f", `{reply}` string"
+def backoff(attempt: int, error: Exception) -> float:
+    """Seconds to wait after a failed try (from 0): 1, 2, 4, ...; after a refusal for too many calls 10, 20, 30, ..."""
+    text = str(error).lower()
+    return 10.0 * (attempt + 1) if "429" in text or "rate limit" in text else float(2**attempt)
+
+
+def generate(requests: DataFrame, call: Callable, reply: str = "reply", tries: int = 3, in_flight: int = 4, wait: Callable[[float], None] = time.sleep, delay: Callable[[int, Exception], float] = backoff) -> DataFrame:
+    """requests with what `call` returns for each row, and `tries`, `waited` (seconds) and `failure` (the last error's text, null for a reply).
+
+    A call that raises is tried again after a wait, `tries` times in all; then the row has no reply and a failure, and the job goes on. Each task keeps at most
+    in_flight calls going and rows in their order. call takes a row as a dict, and the number of the try (from 0) if it has a second parameter. A task that
+    Spark repeats calls again: what must not be asked twice is committed by sources.files.append_checkpoint and left out by curate.pending.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + f", `{reply}` string, tries int, waited double, failure string"
+    numbered = len(inspect.signature(call).parameters) > 1
+
+    def one(row: dict) -> tuple:
+        waited = 0.0
+        for attempt in range(tries):
+            try:
+                return (call(row, attempt) if numbered else call(row), attempt + 1, waited, None)
+            except Exception as e:  # noqa: BLE001  whatever a service raises is its row's failure
+                error = e
+            if attempt + 1 < tries:
+                seconds = delay(attempt, error)
+                waited += seconds
+                wait(seconds)
+        return None, tries, waited, str(error)[:500]
 
     def run(parts):
-        for pdf in parts:
-            yield pdf.assign(**{reply: [call(r) for r in pdf.to_dict("records")]})
+        with ThreadPoolExecutor(max_workers=in_flight) as pool:
+            for pdf in parts:
+                rows, going, out = iter(pdf.to_dict("records")), deque(), []
+                for row in rows:
+                    going.append(pool.submit(one, row))
+                    if len(going) >= in_flight:
+                        out.append(going.popleft().result())
+                out += [f.result() for f in going]
+                columns = list(zip(*out)) or [()] * 4
+                yield pdf.assign(**{n: list(c) for n, c in zip((reply, "tries", "waited", "failure"), columns)})  # noqa: B905
 
     return requests.mapInPandas(run, schema)
 

@@ -50,7 +50,3 @@ def windowed_counts(events: DataFrame, time: str, by: str, size: str = "1 hour",
     """Counts by tumbling window and `by`; works on streams (with a watermark) and on tables."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
-
-def backoff_seconds(attempt: int, base: int = 2) -> int:
-    """Wait before attempt `attempt + 1` of a call that failed: 1, 2, 4, ..."""
-    return base**attempt

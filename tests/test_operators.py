@@ -256,7 +256,7 @@ def test_ingest_repeats_nothing(spark, tmp_path):
     run()
     run()
     assert sorted(r.id for r in spark.read.json(out).collect()) == [1, 2, 3]
-    assert [resume.backoff_seconds(i) for i in range(3)] == [1, 2, 4]
+    assert [files.backoff(i, OSError()) for i in range(3)] == [1, 2, 4] and files.backoff(1, OSError("HTTP 429")) == 20
 
 
 def test_reports(spark):
@@ -279,3 +279,29 @@ def test_vectors(spark):
     v = F.array(*[F.lit(float(x)) for x in (3, -1, 3)])
     assert [(t["index"], t.value) for t in one(vectors.top_k(v, 2))] == [(0, 3.0), (2, 3.0)]
     assert sum(one(vectors.softmax(v))) == pytest.approx(1) and one(vectors.silu(F.lit(0.0))) == 0 and one(vectors.perplexity(F.lit(0.0))) == 1
+
+
+def test_calls_that_fail(spark):
+    """Tries, waits and failures of each row; no more calls at once than asked for."""
+    ddl = "i long, j long"
+    rows = [(i, i % 5) for i in range(60)]
+
+    def call(row, attempt):
+        if attempt < row["j"]:
+            raise OSError(f"no {row['i']} {attempt}" + (" HTTP 429" if row["i"] % 2 else ""))
+        return f"r{row['i']}"
+
+    out = files.generate(spark.createDataFrame(rows, ddl).repartition(3), call, tries=3, in_flight=2, wait=lambda s: None).orderBy("i").collect()
+    for r, (i, j) in zip(out, rows, strict=True):
+        waits = [10 * (k + 1) if i % 2 else 2**k for k in range(min(j, 2))]
+        assert (r.reply, r.tries, r.waited) == (f"r{i}" if j < 3 else None, min(j + 1, 3), float(sum(waits)))
+        assert r.failure == (None if j < 3 else f"no {i} 2" + (" HTTP 429" if i % 2 else ""))
+    assert files.generate(spark.createDataFrame([], ddl), call).count() == 0
+
+
+def test_epoch_order_is_a_permutation():
+    for n in (1, 2, 3, 10, 97, 1000, 4097):
+        for epoch in (0, 1):
+            got = batching.permuted(range(n), n, 7, epoch)
+            assert sorted(got.tolist()) == list(range(n))
+    assert batching.permuted(range(500), 500, 7, 0).tolist() != batching.permuted(range(500), 500, 7, 1).tolist()
