@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import logic
 from ..functions.text import balanced_parens, formula_pattern, hash_order, normalize_formula, pair_key, rank_of, strip
 from ..schema import VERDICT_DDL
+from ..sources.files import work_folder
 from .ranking import ranked, running_sum, shuffled
 
 #: Most buckets that a class is cut into by the range of its positions.
@@ -108,17 +109,27 @@ def cap_groups(df: DataFrame, by: str, key: str, ratio: float = 0.25) -> DataFra
 
 
 def group_split(df: DataFrame, group: Column, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """df with `split`: groups in random order fill train, then val, then test; a group is never divided."""
-    d = df.withColumn("_g", group)
-    sizes = d.groupBy("_g").agg(F.count("*").alias("_n")).withColumn("_o", hash_order("split", F.coalesce(F.col("_g"), F.lit(""))))
+    """df with `split`: groups in random order fill train, then val, then test; a group is never divided.
+
+    Groups are counted once, into a table of their own. Those with more than a thousandth of all rows (at most a thousand) are told by broadcast where
+    their rows lie; in the join of the others such a row's key is its number, so no task gets a large group.
+    """
+    d = df.withColumn("_g", group.cast("string"))
+    path = work_folder(df.sparkSession)
+    d.groupBy("_g").agg(F.count("*").alias("_n")).withColumn("_o", hash_order("split", F.coalesce(F.col("_g"), F.lit("")))).write.parquet(path)
+    sizes = df.sparkSession.read.schema("_g string, _n long, _o string").parquet(path)
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
     placed = running_sum(sizes, [F.col("_o"), F.col("_g")], F.substring("_o", 1, 3), F.col("_n"), "before")
-    total = d.groupBy().agg(F.count("*").alias("_total"))
-    placed = placed.crossJoin(F.broadcast(total))
-    in_train = F.col("before") < F.floor(F.col("_total") * train)
+    in_train = F.col("before") < int(total * train)
     size = placed.agg(F.coalesce(F.sum(F.when(in_train, F.col("_n"))), F.lit(0)).alias("_t"))
-    part = F.when(in_train, "train").when(F.col("before") - F.col("_t") < F.floor(F.col("_total") * val), "val").otherwise("test")
-    named = placed.crossJoin(F.broadcast(size)).select(F.col("_g").alias("_h"), part.alias("split"))
-    return d.join(named, F.col("_g").eqNullSafe(F.col("_h"))).drop("_g", "_h")
+    part = F.when(in_train, "train").when(F.col("before") - F.col("_t") < int(total * val), "val").otherwise("test")
+    key = F.coalesce(F.concat(F.lit("="), F.col("_g")), F.lit("null"))
+    named = placed.crossJoin(F.broadcast(size)).select(key.alias("_k"), "_n", part.alias("split"))
+    large = F.broadcast(named.where(F.col("_n") > total // 1000).select("_k", F.col("split").alias("_large")))
+    told = d.withColumn("_k", key).join(large, "_k", "left")
+    spread = told.withColumn("_k", F.when(F.col("_large").isNull(), F.col("_k")).otherwise(F.monotonically_increasing_id().cast("string")))
+    out = spread.join(named.where(F.col("_n") <= total // 1000).select("_k", "split"), "_k", "left")
+    return out.withColumn("split", F.coalesce("_large", "split")).select(*df.columns, "split")
 
 
 def pattern_split(df: DataFrame, formula: str = "formula") -> DataFrame:
