@@ -1,8 +1,9 @@
-"""Makes this package importable on executors, wherever the driver found it."""
+"""What a session needs: this package importable on executors, and a folder that they all share."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -24,3 +25,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(target)
     sc._lemmaflow_shipped = True
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is, a temporary one in local mode (tests), else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lemmaflow-shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")

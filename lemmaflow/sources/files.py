@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import PROCESSED_DDL
+from ..shipping import shared_base
 
 
 def read_examples(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
@@ -41,17 +43,8 @@ def count_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; in local mode without one, a temporary folder."""
-    import re
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lemmaflow-work-")
-    return f"{base.rstrip('/')}/lemmaflow-work/{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_base(spark)}/lemmaflow-work/{uuid.uuid4().hex}"
 
 
 def read_progress(spark: SparkSession, path: str, schema: str) -> DataFrame:
