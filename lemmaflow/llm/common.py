@@ -7,8 +7,6 @@ the session names in spark.checkpoint.dir, and Python code runs over Arrow batch
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -18,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shared_base, ship
 
 #: Bytes of text handled at once by one Python worker.
 SLICE_BYTES = 8 << 20
@@ -44,14 +42,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where none is named, a temporary one in local mode (tests), else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lemmaflow-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lemmaflow"
+    """The operators' part of the cluster's shared folder."""
+    return f"{shared_base(spark)}/lemmaflow"
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ Detections that overlap are resolved by priority: kinds rank from full grants ov
 names, a longer match ranks before a shorter one, and a match inside the interval of a better one is
 suppressed. Labels are those of the detections left and of the four base phrases, which always stay.
 
+Ties: of detections of one priority and length the earlier one ranks first, of equal intervals the license with the longer label, then the smaller one.
+
 Edge cases: null text is the empty text: no words, no labels, score 0. Very long texts are read whole; base phrases are
 counted in one pass. Rows are independent: repeated rows repeat, null doc_ids are carried, an empty table stays empty,
 extra columns are not carried.
