@@ -75,6 +75,13 @@ def error_examples(pairs: DataFrame, order: str, limit: int = 5) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def first_of_groups(df: DataFrame, by: str, order: str, limit: int = 3) -> DataFrame:
+    """The first row (by `order`, which tells rows apart) of each of the first `limit` distinct groups, with `shown` from 1: a report. A null group is the empty one."""
+    d = df.withColumn(by, F.coalesce(F.col(by), F.lit("")))
+    first = d.groupBy(by).agg(F.min_by(F.struct(*d.columns), order).alias("_r")).select("_r.*").orderBy(order).limit(limit)
+    return first.withColumn("shown", F.row_number().over(Window.partitionBy().orderBy(order)))  # at most `limit` rows
+
+
 def diagnose_batch(metrics: DataFrame) -> DataFrame:
     """The first of syntax, atoms, connectors and semantics that is below 0.8."""
     c = F.when(F.col("valid_syntax_rate") < 0.8, "syntax").when(F.col("atom_f1") < 0.8, "atoms").when(F.col("connector_accuracy") < 0.8, "connectors").when(F.col("semantic_accuracy") < 0.8, "semantics").otherwise("good")

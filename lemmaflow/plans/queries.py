@@ -430,6 +430,14 @@ def diagnosis(spark, d):
     return evaluate.diagnose(evaluate.breakdown(p, "lang", "source"), p)
 
 
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS rn FROM documents), s AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS shown FROM f WHERE rn = 1)
+SELECT shown::INT AS shown, doc_id, coalesce(source, '') AS block, left(text, 100) || '...' AS shown_text, strlen(text)::BIGINT AS bytes FROM s WHERE shown <= 3""")
+def examples_of_blocks(spark, d):
+    """The first example of each of the first three distinct blocks, as a report shows them."""
+    rows = _table(spark, d, "documents").select("doc_id", F.col("source").alias("block"), F.concat(F.substring("text", 1, 100), F.lit("...")).alias("shown_text"), F.octet_length("text").cast("long").alias("bytes"))
+    return evaluate.first_of_groups(rows, "block", "doc_id")
+
+
 @query(f"WITH {_REF} SELECT CASE WHEN NOT valid OR len(conn) <= 2 THEN '1-2 conectores' WHEN len(conn) <= 4 THEN '3-4 conectores' ELSE '5+ conectores' END AS bucket, count(*) AS n FROM f GROUP BY 1")
 def length_bucket(spark, d):
     p = _formulas(spark, d).withColumn("p", logic.syntax(F.col("formula")))
