@@ -9,7 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, wraps
 
 import pyarrow as pa
 import pyarrow.compute
@@ -147,21 +147,41 @@ def keeps(clear: Callable) -> None:
     _CLEAR.append(clear)
 
 
+def trim() -> None:
+    """Give memory that is free, but kept by the allocators, back to the machine."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def settle(owner: str) -> None:
     """At the start of a task: drop what another operator has left in this Python worker, and give its memory back."""
     if _OWNER and _OWNER[0] != owner:
-        import ctypes
-        import gc
-
         for clear in _CLEAR:
             clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed memory stays with the process otherwise
-        if trim is not None:
-            trim(0)
+        trim()
     _OWNER[:] = [owner]
 
 
+def lean(run: Callable) -> Callable:
+    """A task's function over batches, after which its worker, which waits for other tasks, holds no more than its tables."""
+
+    @wraps(run)
+    def held(*args, **more):
+        try:
+            yield from run(*args, **more)
+        finally:
+            trim()
+
+    return held
+
+
+@lean
 def _apply(batches, fn, column, names, schema, limit):
     settle(getattr(fn, "func", fn).__module__)
     state: dict = {}
