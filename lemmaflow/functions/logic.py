@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 # Binding strength of the connectors, and which of them group to the right or commute.
 STRENGTH = {"↔": 1, "→": 2, "∨": 3, "∧": 4}
+_SIGNS = ("¬", "∧", "∨", "→", "↔")
 RIGHT = {"→"}
 COMMUTES = {"∧", "∨", "↔"}
 
@@ -54,87 +55,100 @@ def lex_a(text: str) -> list[str]:
     return out
 
 
+_B_TOKEN = re.compile(r"<->|<=>|not|and|iff|->|=>|or|[¬~!∧^&∨|→↔()]|\w+|\S")  # signs from the longest on, words, anything else
+
+
+def _token_b(found: str) -> str | None:
+    """The token of what _B_TOKEN found; None if no formula may have it."""
+    c = found[0]
+    if found in NOTATIONS or found in ("(", ")"):
+        return NOTATIONS.get(found, found)
+    if not c.isalpha() or not (c.islower() or c.isupper()):
+        return None
+    return NOTATIONS[found.lower()] if c.islower() and found.lower() in NOTATIONS else "@" + (found if c.islower() else found.lower())
+
+
 def lex_b(text: str) -> list[str]:
     text = text.strip()
-    out, i = [], 0
-    while i < len(text):
-        c = text[i]
-        if c.isspace():
-            i += 1
-            continue
-        if c in "()":
-            out.append(c)
-            i += 1
-            continue
-        sign = next((text[i : i + n] for n in (3, 2, 1) if len(text) - i >= n and text[i : i + n] in NOTATIONS), None)
-        if sign is not None:
-            out.append(NOTATIONS[sign])
-            i += len(sign)
-            continue
-        if not c.isalpha() or not (c.islower() or c.isupper()):
-            raise FormulaError(f"unknown character {c!r} at {i}")
-        j = i
-        while j < len(text) and (text[j].isalnum() or text[j] == "_"):
-            j += 1
-        word = text[i:j]
-        out.append(NOTATIONS[word.lower()] if c.islower() and word.lower() in NOTATIONS else "@" + (word if c.islower() else word.lower()))
-        i = j
-    return out
-
+    found = _B_TOKEN.findall(text)
+    token = {x: _token_b(x) for x in set(found)}
+    if None in token.values():
+        m = next(m for m in _B_TOKEN.finditer(text) if token[m[0]] is None)
+        raise FormulaError(f"unknown character {m[0][0]!r} at {m.start()}")
+    return [token[x] for x in found]
 
-def parse_tokens(tokens: list[str]):
-    """Operator precedence over either lexer's tokens, on explicit stacks; atoms carry a leading @. Equal subtrees are one object."""
-    signs: list[str] = []
-    trees: list[tuple] = []
-    same: dict[tuple, tuple] = {}
 
-    def put(node: tuple) -> None:
-        trees.append(same.setdefault((node[0], *(x if node[0] == "atom" else id(x) for x in node[1:])), node))
+# What a sign on the stack must have to be reduced before the next one.
+_FORCE = STRENGTH | {"¬": 9, "(": 0}
+_CONNECTORS = frozenset(_SIGNS)
+_LEVEL = {op: n + (op in RIGHT) for op, n in STRENGTH.items()}
 
-    def reduce() -> None:
-        op = signs.pop()
-        if op == "¬":
-            put((op, trees.pop()))
-        else:
-            right = trees.pop()
-            put((op, trees.pop(), right))
 
+def postfix_of(tokens: list[str]) -> list[str]:
+    """Operator precedence over either lexer's tokens, on an explicit stack; atoms carry a leading @, and none in the result."""
+    signs: list[str] = []
+    out: list[str] = []
+    name = {t: t[1:] for t in set(tokens) if t[0] == "@"}
     due = True  # an operand is
     for t in tokens:
         if due:
-            if t in ("¬", "("):
-                signs.append(t)
-            elif t[0] == "@":
-                put(("atom", t[1:]))
+            if t in name:
+                out.append(name[t])
                 due = False
+            elif t == "(" or t == "¬":
+                signs.append(t)
             else:
                 raise FormulaError(f"an operand was due, not {t}")
+        elif t in _LEVEL:
+            level = _LEVEL[t]
+            while signs and _FORCE[signs[-1]] >= level:
+                out.append(signs.pop())
+            signs.append(t)
+            due = True
         elif t == ")":
             while signs and signs[-1] != "(":
-                reduce()
+                out.append(signs.pop())
             if not signs:
                 raise FormulaError("unexpected )")
             signs.pop()
-        elif t in STRENGTH:
-            while signs and signs[-1] != "(" and (signs[-1] == "¬" or STRENGTH[signs[-1]] >= STRENGTH[t] + (t in RIGHT)):
-                reduce()
-            signs.append(t)
-            due = True
         else:
             raise FormulaError(f"unexpected {t.lstrip('@')}" if "(" not in signs else "a parenthesis is open")
     if due:
         raise FormulaError("the formula ends too early")
-    while signs:
-        if signs[-1] == "(":
-            raise FormulaError("a parenthesis is open")
-        reduce()
+    if "(" in signs:
+        raise FormulaError("a parenthesis is open")
+    return out + signs[::-1]
+
+
+def tree_of(rpn: list[str]):
+    """The tree of a postfix form. Equal subtrees are one object."""
+    trees: list[tuple] = []
+    same: dict[tuple, tuple] = {}
+    for t in rpn:
+        if t not in _FORCE:
+            node = same.setdefault((t,), ("atom", t))
+        elif t == "¬":
+            x = trees.pop()
+            node = same.setdefault((t, id(x)), (t, x))
+        else:
+            right, left = trees.pop(), trees.pop()
+            node = same.setdefault((t, id(left), id(right)), (t, left, right))
+        trees.append(node)
     return trees[0]
 
 
-def parse_b(text: str):
-    if not text.strip():
+def parse_tokens(tokens: list[str]):
+    return tree_of(postfix_of(tokens))
+
+
+def tokens_b(text: str | None) -> list[str]:
+    if text is None or not text.strip():
         raise FormulaError("empty formula")
-    return parse_tokens(lex_b(text))
+    return lex_b(text)
+
+
+def parse_b(text: str):
+    return parse_tokens(tokens_b(text))
 
 
 def nodes(tree) -> list[tuple]:
@@ -143,8 +157,11 @@ def nodes(tree) -> list[tuple]:
     while todo:
         t = todo.pop()
         out.append(t)
-        if t[0] != "atom":
-            todo.extend(t[1:])
+        if len(t) == 3:
+            todo.append(t[1])
+            todo.append(t[2])
+        elif t[0] == "¬":
+            todo.append(t[1])
     return out[::-1]
 
 
@@ -286,13 +303,10 @@ def truth_bits(tree, atoms: list[str]) -> int:
 STEPS = 50_000
 
 
-def signature(tree, steps: int = STEPS) -> str | None:
-    """Equal for two formulas exactly if they are equivalent; None if it takes more steps, and for formulas of some hundred atoms.
-
-    It is the reduced decision diagram over the atoms in order of name, written from its root; an atom that
-    doesn't matter is not in it. Long ones are given by their SHA-256. Formulas without one are compared by `equivalent`.
-    """
-    order = {a: i for i, a in enumerate(sorted(names(tree)))}
+def _diagrams(formulas: list[list[str]], steps: int) -> tuple[list[tuple], list[int], list[str]] | None:
+    """Postfix forms as one reduced decision diagram over the atoms in order of name: the diagram, the formulas' roots in it, and the atoms; None if it
+    takes more steps. Formulas of one root are equivalent."""
+    order = {a: i for i, a in enumerate(sorted(set().union(*formulas) - _FORCE.keys()))}
     diagram: list[tuple] = [(len(order), 0, 0), (len(order), 1, 1)]  # false, true
     known: dict[tuple, int] = {}
     memo: dict[tuple, int] = {}
@@ -318,18 +332,37 @@ def signature(tree, steps: int = STEPS) -> str | None:
             memo[key] = node(level, both(op, a0, b0), both(op, a1, b1))
         return memo[key]
 
-    built: dict[int, int] = {}
+    atoms = {a: node(i, 0, 1) for a, i in order.items()}
+    roots = []
     try:
-        for t in nodes(tree):
-            if id(t) not in built:
-                if t[0] == "atom":
-                    built[id(t)] = node(order[t[1]], 0, 1)
+        for rpn in formulas:
+            stack: list[int] = []
+            for t in rpn:
+                if t in atoms:
+                    stack.append(atoms[t])
+                elif t == "¬":
+                    stack.append(both("→", stack.pop(), 0))
                 else:
-                    built[id(t)] = both("→", built[id(t[1])], 0) if t[0] == "¬" else both(t[0], built[id(t[1])], built[id(t[2])])
+                    right = stack.pop()
+                    key = (t, stack[-1], right)
+                    stack[-1] = memo[key] if key in memo else both(*key)
+            roots += stack
     except RecursionError:
         return None
-    names_of, place, out, todo = list(order), {0: "F", 1: "T"}, [], [built[id(tree)]]
-    root = todo[0]
+    return diagram, roots, list(order)
+
+
+def signature(tree, steps: int = STEPS) -> str | None:
+    """Equal for two formulas exactly if they are equivalent; None if it takes more steps, and for formulas of some hundred atoms.
+
+    It is the reduced decision diagram over the atoms in order of name, written from its root; an atom that
+    doesn't matter is not in it. Long ones are given by their SHA-256. Formulas without one are compared by `equivalent`.
+    """
+    made = _diagrams([postfix(tree)], steps)
+    if made is None:
+        return None
+    diagram, (root,), names_of = made
+    place, out, todo = {0: "F", 1: "T"}, [], [root]
     while todo:
         x = todo.pop()
         if x not in place:
@@ -340,15 +373,16 @@ def signature(tree, steps: int = STEPS) -> str | None:
     return text if len(text) < 200 else hashlib.sha256(text.encode()).hexdigest()
 
 
-def equivalent(a, b, conflicts: int = 20_000) -> bool | None:
-    """Whether two formulas are; by signatures where both have one, else by a search for an assignment on which they differ, None if it meets too many conflicts."""
+def equivalent(a: list[str], b: list[str], conflicts: int = 20_000) -> bool | None:
+    """Whether two formulas in postfix form are; by one diagram of both where it takes no more steps than two signatures, else by a search for an assignment on which they differ, None if it meets too many conflicts."""
     from .solver import Clauses
 
-    left, right = signature(a), signature(b)
-    if left is not None and right is not None:
+    made = _diagrams([a, b], 2 * STEPS)
+    if made is not None:
+        left, right = made[1]
         return left == right
     clauses = Clauses()
-    x, y = clauses.formula(nodes(a)), clauses.formula(nodes(b))
+    x, y = clauses.formula(nodes(tree_of(a))), clauses.formula(nodes(tree_of(b)))
     if abs(x) == abs(y):
         return x == y
     clauses.add([x, y])
@@ -369,25 +403,57 @@ SYNTAX, PARSED, WHOLE = T.StructType(_SYNTAX), T.StructType(_SYNTAX + _MEANING),
 CHECKED = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("atoms", _STRINGS)])
 
 
-@lru_cache(maxsize=20_000)
+def remembered(limit: int) -> Callable:
+    """Keep a function's latest results by its arguments, as long as the strings in both have at most about twice `limit`
+    characters: long formulas don't pile up in a worker. Results don't depend on it."""
+
+    def size(x) -> int:
+        return len(x) if isinstance(x, str) else 40 + sum(map(len, x)) if isinstance(x, list) else 0
+
+    def keep(fn: Callable) -> Callable:
+        new: dict = {}
+        old: dict = {}
+        held = 0
+
+        @wraps(fn)
+        def call(*key):
+            nonlocal new, old, held
+            if key in new:
+                return new[key]
+            out = old[key] if key in old else fn(*key)
+            own = 40 + sum(map(size, key)) + (sum(map(size, out)) if isinstance(out, tuple) else 0)
+            if held + own > limit:
+                new, old, held = {}, new, 0
+            if own <= limit:
+                new[key] = out
+                held += own
+            return out
+
+        return call
+
+    return keep
+
+
+@remembered(1_000_000)
 def _tree(text: str | None):
     """The parsed tree, or the error's message."""
     try:
-        if text is None:
-            raise FormulaError("empty formula")
         return parse_b(text)
     except FormulaError as e:
         return str(e)[:200]
 
 
-@lru_cache(maxsize=100_000)
+@remembered(4_000_000)
 def analyse(text: str | None, strict: bool = False, fields: int = len(WHOLE)) -> tuple:
     """The first fields of WHOLE; no more is computed."""
-    tree = _tree(text)
-    if isinstance(tree, str):
-        return (False, tree, None, None, None, None, text.strip() if text is not None else None, None, None, None)[:fields]
-    out = (True, "", postfix(tree), sorted(names(tree)), connectors(tree), tree[0] if tree[0] != "atom" else None)
+    try:
+        tokens = tokens_b(text)
+        rpn = postfix_of(tokens)
+    except FormulaError as e:
+        return (False, str(e)[:200], None, None, None, None, text.strip() if text is not None else None, None, None, None)[:fields]
+    out = (True, "", rpn, sorted(set(rpn) - _FORCE.keys()), [t for t in tokens if t in _CONNECTORS], rpn[-1] if len(rpn) > 1 else None)
     if fields > len(SYNTAX):
+        tree = tree_of(rpn)
         out += (show(canonical(tree, strict), strict), signature(tree))
     if fields > len(PARSED):
         subs = sorted(set(subformulas(tree, strict)))
@@ -474,10 +540,12 @@ def same_meaning(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([meaning(a, b) for a, b in zip(left, right)], dtype=object)
 
 
-@lru_cache(maxsize=20_000)
+@remembered(4_000_000)
 def meaning(left: str | None, right: str | None) -> bool | None:
-    a, b = _tree(left), _tree(right)
-    return None if isinstance(a, str) or isinstance(b, str) else equivalent(a, b)
+    try:
+        return equivalent(postfix_of(tokens_b(left)), postfix_of(tokens_b(right)))
+    except FormulaError:
+        return None
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -505,7 +573,6 @@ def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 #: Truth-table columns of six atoms as signed 64-bit masks, most significant atom first. Fixed values.
 LANES = (-4294967296, -281470681808896, -71777214294589696, -1085102592571150096, -3689348814741910324, -6148914691236517206)
-_SIGNS = ("¬", "∧", "∨", "→", "↔")
 
 
 def truth_words(rpn: Column, atoms: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +21,7 @@ PAIR = T.StructType(
 )
 
 
-@lru_cache(maxsize=100_000)
+@logic.remembered(4_000_000)
 def compare(prediction: str | None, reference: str | None, strict: bool = False) -> tuple:
     """The fields of PAIR: what two formulas are and have in common. Each distinct formula is parsed once."""
     p, r = logic.analyse(prediction, strict), logic.analyse(reference, strict)

@@ -236,6 +236,24 @@ def test_long_formulas():
     assert logic.analyse("¬" * 50_001 + "p", False, len(logic.PARSED))[6] == "¬p"
 
 
+def test_long_formulas_do_not_pile_up():
+    """A worker holds no more for many long formulas than for a few."""
+    import tracemalloc
+
+    def work(first, last):
+        for i in range(first, last):
+            a = f"x{i} → " + " ∧ ".join("pqr"[j % 3] for j in range(4000))
+            assert logic.analyse(a, False, len(logic.SYNTAX))[0] and logic.meaning(a, f"¬¬({a})")
+        return tracemalloc.get_traced_memory()[0] / 1e6
+
+    tracemalloc.start()
+    try:
+        assert work(0, 150) < 80
+        assert work(150, 450) < 80
+    finally:
+        tracemalloc.stop()
+
+
 def test_equivalence_of_many_atoms():
     """Diagrams in order of name blow up on these; the search does not."""
     n = 30
