@@ -16,7 +16,7 @@ kept, so lost executors, repeated and speculative tries leave at worst a file th
 text, row number), so no id or text, however often repeated, has to fit a task. Where a document's ids begin follows from its
 block's running sums.
 
-Texts are encoded by the tokenizers library. A byte-level pattern never puts a visible ASCII character and a space or line break after it in one
+Texts are encoded by the tokenizers library. A byte-level pattern never puts a visible ASCII character or a letter and a space or line break after it in one
 pre-token, so texts are cut there, and each distinct piece goes through the library once a worker (`Pieces`, bounded tables).
 
 Edge cases: a null text is the empty text: one record with the end id alone. Null doc_ids come first; equal ones are in the order of
@@ -53,10 +53,15 @@ CACHE_ENTRIES = 700_000
 READERS = 20_000
 _INDEX = struct.Struct("<QQQ")
 #: Where no pre-token goes on.
-_CUT = re.compile("(?<=[!-~])(?=[ \n])")
+_CUT = re.compile(r"(?<=[!-~]|[^\W\d_])(?=[ \n])")
 _VISIBLE = frozenset(map(chr, range(0x21, 0x7F)))
 
 
+def _closed(word: str) -> bool:
+    """Whether the word is not empty and no pre-token goes on from it to a space: it ends with a visible ASCII character or a letter."""
+    return word[-1:] in _VISIBLE or word[-1:].isalpha()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -111,7 +116,7 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.model._resize_cache(0)  # what comes here is new to it
-        #: Ids of a punctuation mark that ends a word of ASCII letters, and so is a pre-token of its own.
+        #: Ids of a punctuation mark that ends a word of Latin letters, and so is a pre-token of its own.
         self.marks = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in _VISIBLE if not c.isalnum()}
         self.words: dict[str, bytes] = {}  # by what follows a space
         self.old: dict[str, bytes] = {}
@@ -147,7 +152,7 @@ class Pieces:
         uncommon = [_CUT.split(p) for _, _, p in odd]
         rest, local = [], {}
         for p in dict.fromkeys(p for pieces in uncommon for p in pieces):
-            word = p[1:] if p[:1] == " " and p[-1] in _VISIBLE and "\n" not in p else ""
+            word = p[1:] if p[:1] == " " and _closed(p) and "\n" not in p else ""
             ids = (get(word) or old(word)) if word else self.pieces.get(p)
             if ids is not None:
                 local[p] = ids
@@ -177,11 +182,11 @@ class Pieces:
             if i < done:
                 continue
             word = parts[i]
-            if i and word and word[-1] in _VISIBLE and "\n" not in word:
+            if i and _closed(word) and "\n" not in word:
                 ids = old(word)
                 if ids is None:
                     tail, stem = marks(word[-1], b""), word[:-1]
-                    if not (tail and stem.isalpha() and stem.isascii()):
+                    if not (tail and stem.isalpha() and (stem.isascii() or max(stem) < "ɐ")):
                         tail, stem = b"", word
                     ids = (get(stem) or old(stem)) if tail else None
                     if ids is None:
@@ -192,7 +197,7 @@ class Pieces:
                 got[i] = self.words[word] = ids
                 continue
             j = i + 1
-            while j < n and (not parts[j - 1] or parts[j - 1][-1] not in _VISIBLE):
+            while j < n and not _closed(parts[j - 1]):
                 got[j] = b""
                 j += 1
             odd.append((got, i, (" " if i else "") + " ".join(parts[i:j])))

@@ -100,3 +100,16 @@ def test_counter_of_query_columns(spark):
     from lemmaflow.llm import queries
 
     assert Counter(queries.op13_token_records(spark, "/root/testdata/sf0.001").columns) == Counter(["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def test_words_end_at_letters_too(library):
+    """A word that ends with a letter beyond ASCII is a piece of its own; with what follows, it would be a new piece nearly every time."""
+    rng = random.Random(1)
+    bits = ["é", "ß", "word", "größe", "naïve", " ", "  ", "\n", "\t", " ", "'s", "'", "1", "²", "½", "中文", "か", "́", "ǅ", "ɐ", "\U00010d70", "<|endoftext|>", ",", ".", "_", "\r\n", "\x00", "​", "😀", "ⅷ", "\x85"]
+    pieces = records.Pieces()
+    for _ in range(40):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(50)]
+        assert [list(array("I", x)) for x in pieces.encode(texts)] == [ids_of(library, t)[:-1] for t in texts]
+    pieces = records.Pieces()
+    pieces.encode(["", " ".join(f"así{i} allí y{i}é fin größe, größe." for i in range(50))])
+    assert {"allí", "y7é", "größe", "größe,"} <= set(pieces.words) and not any(" " in p.strip() for p in pieces.pieces)
