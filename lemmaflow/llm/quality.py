@@ -2,9 +2,11 @@
 
 Rule statistics of a whole text (words, lines, symbols, repeats) are the features of a forest of
 random trees. A text's mean path length over the trees gives its anomaly score 2 ** (-path / c).
-The forest grows on the well-rated rows of a bounded sample of labelled rows, within the span of the
-sample's rows of both labels; the threshold is the one that best separates the two labels (balanced
+Each tree grows on its own draw of TREE_ROWS of the well-rated rows, as isolation forests do, within the span of all
+labelled rows of both labels; the threshold is the one that best separates the two labels over all labelled rows (balanced
 accuracy, at least MIN_KEEP of the well-rated rows stay). Texts that fail the base rules are rejected before that.
+Labelled rows stay on the cluster: the driver gets the rows that trees may draw (about TREES * TREE_ROWS, taken by a
+hash of the id), counts of rounded feature values, and the threshold.
 
 Ties: rows of equal score are kept or rejected together; of thresholds that separate the labels equally well the lowest is taken.
 
@@ -22,11 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from ..operators.ranking import running_sum
+from .common import FEW, discard, map_text, materialise
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
-LIMIT = 6000
 TREES = 200
 TREE_ROWS = 256
 MIN_KEEP = 0.98
@@ -135,17 +137,18 @@ class Model:
         self.forest, self.threshold = forest, threshold
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, min_keep: float = MIN_KEEP) -> float:
-    """The highest score kept: best balanced accuracy among thresholds that keep min_keep of the good rows."""
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    kept_good = np.cumsum(g) / max(1, g.sum())
-    cut_bad = 1 - np.cumsum(~g) / max(1, (~g).sum())
-    last = np.r_[s[1:] > s[:-1], True]
-    value = np.where(last & (kept_good >= min_keep), kept_good + cut_bad, -1)
-    i = int(value.argmax())
-    nxt = s[i + 1] if i + 1 < len(s) else s[i]
-    return float((s[i] + nxt) / 2)
+def calibrate(scored: DataFrame, n_good: int, n_bad: int, min_keep: float = MIN_KEEP) -> float:
+    """The highest score kept, from rows (score, good): best balanced accuracy among thresholds that keep min_keep of the good rows."""
+    counts = materialise(scored.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b")))
+    d = counts
+    for c in ("g", "b"):
+        d = running_sum(d, [F.col("score")], F.floor(F.col("score") * 4096), F.col(c), f"{c}_before")
+    big = lambda c: c.cast("decimal(18,0)")
+    good, bad = F.col("g") + F.col("g_before"), F.col("b") + F.col("b_before")
+    best = d.where(good >= min_keep * n_good).orderBy((big(good) * big(F.lit(n_bad)) - big(bad) * big(F.lit(n_good))).desc(), "score").select("score").first().score
+    after = counts.where(F.col("score") > best).agg(F.min("score")).first()[0]
+    discard(counts)
+    return best if after is None else (best + after) / 2
 
 
 def _train(texts, state):
@@ -153,23 +156,49 @@ def _train(texts, state):
     return {"f": [list(r[5]) for r in rows], "failed": [base_fails(r[0], r[4]) for r in rows]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Model:
-    """Forest and threshold from at most `limit` labelled ids of each label (smallest hash of the id), one text each; an id of both labels counts as bad."""
+def _score(features, state, forest: Forest):
+    return {"score": forest.score(np.array(features, float).reshape(-1, len(FEATURES)))}
+
+
+def spans(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The quantiles 0.005 and 0.995 of each feature over all rows, of values rounded down to nine binary digits."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2("v")) - 8)
+    values = rows.select(F.posexplode("f").alias("k", "v")).select("k", F.when(F.col("v") > 0, F.floor(F.col("v") / step) * step).otherwise(0.0).alias("v"))
+    got = sorted(tuple(r) for r in values.groupBy("k", "v").agg(F.count("*").alias("n")).collect())
+    low, high = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+    for k in range(len(FEATURES)):
+        own = np.array([(v, c) for i, v, c in got if i == k])
+        at = np.searchsorted(own[:, 1].cumsum(), (0.005 * n, 0.995 * n))
+        low[k], high[k] = own[np.minimum(at, len(own) - 1), 0]
+    return low, high
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """d_id, f (features) and good of all labelled ids whose text passes the base rules: one text each, and an id of both labels is bad."""
     lab = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality")).where("l_id is not null and quality in (0, 1)")
-    order = F.xxhash64("l_id")
-    ids = lab.groupBy("l_id").agg(F.min("quality").alias("quality"))
-    drawn = F.broadcast(ids.where("quality = 1").orderBy(order, "l_id").limit(limit).unionAll(ids.where("quality = 0").orderBy(order, "l_id").limit(limit)))  # at most 2 * limit ids
-    rows = docs.select(F.col("doc_id").alias("d_id"), F.col("text").cast("string").alias("text")).join(drawn, F.col("d_id") == F.col("l_id"))
-    one = rows.groupBy("d_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # one text an id
-    got = map_text(one, "text", _train, "f array<double>, failed boolean").select("d_id", "f", "failed", "quality").toArrow()
-    f = np.array(got["f"].to_pylist(), float).reshape(-1, len(FEATURES))
-    at = np.lexsort([*f.T, got["d_id"].to_numpy()])  # rows arrive in any order; the forest must not depend on it
-    f, failed, good = f[at], np.array(got["failed"].to_pylist(), bool)[at], np.array(got["quality"].to_pylist(), int)[at] == 1
-    use = ~failed
-    if not (good & use).any() or not (~good & use).any():
+    ids = materialise(lab.groupBy("l_id").agg((F.min("quality") == 1).alias("good")))
+    texts = docs.select(F.col("doc_id").alias("d_id"), F.col("text").cast("string").alias("text"))
+    features = lambda d: map_text(d, "text", _train, "f array<double>, failed boolean").drop("text")
+    on = F.col("d_id") == F.col("l_id")
+    rows = features(texts.join(F.broadcast(ids), on)) if ids.count() <= FEW else features(texts.where("d_id is not null")).join(ids, on)  # no texts are shuffled
+    one = rows.groupBy("d_id", "good").agg(F.min(F.struct("f", "failed")).alias("x"))
+    return one.where("not x.failed").select("d_id", "x.f", "good")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Forest and threshold from all labelled ids."""
+    rows = materialise(labelled(docs, labels))
+    n_good, n_bad = rows.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    if not n_good or not n_bad:
         return Model(None, 1.0)
-    forest = Forest(f[good & use], *np.quantile(f[use], (0.005, 0.995), axis=0))
-    return Model(forest, calibrate(forest.score(f[use]), good[use]))
+    part = min(1.0, TREES * TREE_ROWS / n_good)
+    drawn = rows.where("good").where(F.pmod(F.xxhash64("d_id"), F.lit(1 << 31)) < int(part * (1 << 31))).select("d_id", "f").toArrow()
+    f = np.array(drawn["f"].to_pylist(), float).reshape(-1, len(FEATURES))
+    f = f[np.lexsort([*f.T, drawn["d_id"].to_numpy()])]  # rows arrive in any order; the forest must not depend on it
+    forest = Forest(f, *spans(rows, n_good + n_bad))
+    threshold = calibrate(map_text(rows, "f", partial(_score, forest=forest), "score double").select("score", "good"), n_good, n_bad)
+    discard(rows)
+    return Model(forest, threshold)
 
 
 def _judge(texts, state, model: Model, only_kept: bool):
