@@ -55,7 +55,7 @@ def lex_a(text: str) -> list[str]:
     return out
 
 
-_B_TOKEN = re.compile(r"<->|<=>|not|and|iff|->|=>|or|[¬~!∧^&∨|→↔()]|\w+|\S")  # signs from the longest on, words, anything else
+_B_TOKEN = re.compile(r"[¬~!∧^&∨|→↔()]|<->|<=>|->|=>|not|and|iff|or|\w+|\S")  # signs (none begins another), words, anything else
 
 
 def _token_b(found: str) -> str | None:
